@@ -120,11 +120,13 @@ def cutting_stock(demand: np.ndarray, room: int, most_rounds: int = 20_000) -> P
     if not len(classes):
         return Plan(np.zeros((0, len(demand)), np.int64), np.zeros(0, np.int64))
     sizes, want = classes + 1, demand[classes].astype(float)
+    want = want + 1e-3 * np.random.default_rng(3).random(len(want))  # breaks ties between pivots, so the basis can't cycle
     basis = np.diag((room // sizes).astype(float))
     inverse, x = np.diag(1 / np.diag(basis)), want / np.diag(basis)
     for rounds in range(most_rounds):
         gain, column = best_pattern(inverse.sum(0), sizes, room)
-        if gain <= 1 + 1e-5:
+        total = x.sum()
+        if gain <= 1 + 1e-9 or total - total / gain < max(0.3, 1e-5 * total):  # total / gain is a bound from below
             break
         d = inverse @ column
         ok = d > 1e-9
