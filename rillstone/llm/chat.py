@@ -90,21 +90,22 @@ def best_paths(nodes: DataFrame, per_root: int = 1) -> DataFrame:
     first = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops"), F.col("node").alias("root"))
     tables = [written(first, "ways")]
     limit = max(1, tables[0].count()).bit_length() + 1
-    while not tables[-1].filter("up is not null").isEmpty():
+    going, done = tables[0].filter("up is not null"), tables[0].filter("up is null")
+    while not going.isEmpty():  # only nodes that haven't reached their root join again
         if len(tables) > limit:
             raise ValueError("the replies of a tree form a cycle")
-        now = tables[-1]
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"), F.col("root").alias("root2"))
-        more = now.join(above, ["tree", "up"], "left")
-        done = F.col("hops2").isNull()
-        tables.append(written(more.select("tree", "node", F.col("up2").alias("up"), F.when(done, F.col("total")).otherwise(F.col("total") + F.col("total2")).alias("total"), F.when(done, F.col("hops")).otherwise(F.col("hops") + F.col("hops2")).alias("hops"), F.when(done, F.coalesce("up", "root")).otherwise(F.col("root2")).alias("root")), "ways"))
+        above = going.union(done).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"), F.col("root").alias("root2"))
+        more = going.join(above, ["tree", "up"])
+        tables.append(written(more.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("root2").alias("root")), "ways"))
+        going, done = tables[-1].filter("up is not null"), done.union(tables[-1].filter("up is null"))
     parents = tables[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = tables[-1].join(parents, ["tree", "node"], "left_anti")
+    leaves = done.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree", "root").orderBy(F.desc(F.col("total") / F.col("hops")), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_root)
     members = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
     for k in range(len(tables) - 2, -1, -1):
-        jump = tables[k].filter(f"up is not null and hops = {1 << k}").select("tree", "node", F.col("up").alias("above"))
+        # each is 2**k messages up
+        jump = tables[k].filter("up is not null").select("tree", "node", F.col("up").alias("above"))
         jumped = members.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         members = written(members.union(jumped), "members")
     for t in tables if len(tables) > 1 else ():  # members is a table of its own then

@@ -123,12 +123,13 @@ def cutting_stock(demand: np.ndarray, room: int, most_rounds: int = 20_000) -> P
     want = want + 1e-3 * np.random.default_rng(3).random(len(want))  # breaks ties between pivots, so the basis can't cycle
     basis = np.diag((room // sizes).astype(float))
     inverse, x = np.diag(1 / np.diag(basis)), want / np.diag(basis)
-    for rounds in range(most_rounds):
+    for _ in range(most_rounds):
         gain, column = best_pattern(inverse.sum(0), sizes, room)
         total = x.sum()
         if gain <= 1 + 1e-9 or total - total / gain < max(0.3, 1e-5 * total):  # total / gain is a bound from below
             break
-        d = inverse @ column
+        held = np.flatnonzero(column)
+        d = (inverse[:, held] * column[held]).sum(1)
         ok = d > 1e-9
         ratio = np.where(ok, x / np.where(ok, d, 1), np.inf)
         out = int(ratio.argmin())
@@ -140,9 +141,6 @@ def cutting_stock(demand: np.ndarray, room: int, most_rounds: int = 20_000) -> P
         inverse -= np.outer(d, row)
         inverse[out] = row
         basis[:, out] = column
-        if rounds % 500 == 499:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ want, 0)
     times = np.floor(x + 1e-6).astype(np.int64)
     patterns = np.rint(basis.T).astype(np.int64)
     left = demand[classes].astype(np.int64) - times @ patterns
