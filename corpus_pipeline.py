@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.llm import lines, mixing, packing, simhash, toxicity
 from rillstone.llm.common import written
+from rillstone.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

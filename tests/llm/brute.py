@@ -44,3 +44,44 @@ def components(ids: list[int], prints: list[int], bits: int) -> dict[int, int]:
                 x, y = root(ids[a]), root(ids[b])
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
+
+
+def top_k(vectors: dict[int, list | None], queries: list[int], k: int, scale: int = 256) -> list[tuple[int, int, int, int]]:
+    from math import floor, isfinite
+
+    usable = {i: [floor(scale * x) for x in v] for i, v in vectors.items() if v and all(x is not None and isfinite(x) for x in v)}
+    out = []
+    for q in queries:
+        if q in usable:
+            scores = [(-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q])]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def line_dedup(docs: list[tuple[int, str | None]], bounds) -> dict[int, str]:
+    chunks = {}
+    for i, t in docs:
+        lines = t.encode().split(b"\n") if t else []
+        chunks[i] = [b"\n".join(lines[a:b]) for a, b in bounds(lines)] if len(lines) > 1 else ([b"\n".join(lines)] if lines else [])
+    seen, out = set(), {}
+    for i in sorted(chunks):
+        kept = []
+        for c in chunks[i]:
+            if c.count(b"\n") and c.strip() and c in seen:
+                continue
+            seen.add(c)
+            kept.append(c)
+        out[i] = b"\n".join(kept).decode()
+    return out
+
+
+def unigram(docs: list[tuple[int, str | None]]) -> dict[int, tuple[bool, int, int, int, float]]:
+    import zlib
+    from collections import Counter
+    from math import log10
+
+    tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {i: (held[i], len(ws), sum(c[w] > 0 for w in ws), n, sum(log10((c[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in tokens.items()}
