@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions import keys, placement
+from rillstone.functions import codec, keys, placement
 from rillstone.operators import changes, records, surfaces, vector_search
 from rillstone.schema import (
     IDENTITY, KINDS, LEASE_MARGIN_MS, MAX_ATTEMPTS, MAX_BATCH_OPS, MAX_COMPONENT, MAX_METADATA, MAX_PAGE, MAX_RECORD, MUTATION, SHARDS,
@@ -96,7 +96,7 @@ class Store:
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
         found = self._newest()
         if found is None:
-            self.state = {"n": 0, "epoch": 1, "shards": shards, "sequence": {}, "files": [], "collections": {}, "consumers": {}, "surfaces": {}, "policy": {}, "signals": {}, "classes": {}, "idempotency": {}, "compression": {}, "dictionaries": {}, "audit": 0}
+            self.state = {"n": 0, "epoch": 1, "shards": shards, "sequence": {}, "files": [], "collections": {}, "consumers": {}, "surfaces": {}, "policy": {}, "signals": {}, "classes": {}, "idempotency": {}, "compression": {}, "dictionaries": {}, "audit": 0, "durable": {}}
             self._publish({})
         else:
             self.state = found
@@ -178,9 +178,12 @@ class Store:
     def delete(self, id: Id, expected: str | int = "any") -> Receipt:
         return self.atomic_batch([Mutation(id, op="delete", expected=expected)])[0]
 
-    def atomic_batch(self, mutations: list[Mutation], request: bytes | None = None, scope: str = "", at_ms: int | None = None, request_ttl_ms: int = 86_400_000) -> list[Receipt]:
+    def atomic_batch(self, mutations: list[Mutation], request: bytes | None = None, scope: str = "", at_ms: int | None = None, request_ttl_ms: int = 86_400_000, durable: bool = True) -> list[Receipt]:
         """All or none: at most 1,024 mutations of one partition, each identity once.
 
+        A relaxed batch (durable=False) is readable at once, but its receipts carry the durable watermark of before; ``sync``
+        moves the watermark.
+
         With ``request``, the same hash and mutations return the first receipts; other mutations are a Conflict until
         the request expires.
         """
@@ -214,25 +217,31 @@ class Store:
                 continue
             fresh = {"state": "pending" if m.op == "append" else "ready", "attempt": 0, "lease_id": None, "fencing": 0, "deadline_ms": None}
             rows.append({"op": m.op, "payload": payload_of(m.value), "content_type": m.content_type, "expires_ms": None if m.ttl_ms is None else at + m.ttl_ms, "metadata": m.metadata, "workflow": old["workflow"] if old and m.op == "put" else fresh, "tombstone": False, "delta": m.delta})
-        receipts = self._commit(ids, rows, heads, at, lambda made: {"idempotency": memo | {key: {"mark": mark, "expires": at + request_ttl_ms, "receipts": [[r.sequence, r.shard, r.batch_id, r.durable] for r in made]}}} if key else {})
+        receipts = self._commit(ids, rows, heads, at, lambda made: {"idempotency": memo | {key: {"mark": mark, "expires": at + request_ttl_ms, "receipts": [[r.sequence, r.shard, r.batch_id, r.durable] for r in made]}}} if key else {}, durable)
         return receipts
 
-    def _commit(self, ids: list[Id], rows: list[dict], heads: dict[Id, dict], at: int, more=lambda made: {}) -> list[Receipt]:
+    def _commit(self, ids: list[Id], rows: list[dict], heads: dict[Id, dict], at: int, more=lambda made: {}, durable: bool = True) -> list[Receipt]:
         shard = int.from_bytes(hashlib.sha256(b"\0".join(ids[0][:4])).digest()[:8], "big") & (self.state["shards"] - 1)
         last, mode = self.state["sequence"].get(str(shard), 0), self._mode(ids[0][:3])
+        mark = last + len(ids) if durable else self.state["durable"].get(str(shard), 0)
         out, receipts = [], []
         for k, (i, r) in enumerate(zip(ids, rows, strict=True)):
             if mode == "delta" and r["delta"] is None:
                 raise InvalidArgument("the collection keeps deltas: a delta is needed")
             old = heads.get(i)
             out.append(dict(zip(IDENTITY, map(bytearray, i), strict=True)) | r | {"epoch": self.state["epoch"], "shard": shard, "sequence": last + k + 1, "batch_id": last + 1, "previous": old["sequence"] if old else None, "created_ms": old["created_ms"] if old else at, "updated_ms": at, "body": mode, "event_present": True, "version_present": True})
-            receipts.append(Receipt(i, last + k + 1, shard, last + 1, last + len(ids)))
+            receipts.append(Receipt(i, last + k + 1, shard, last + 1, mark))
         name = f"data/{uuid.uuid4().hex}"
         order = [f.name for f in MUTATION.fields]
         self.spark.createDataFrame([tuple(r[c] for c in order) for r in out], MUTATION).coalesce(1).write.parquet(f"{self.root}/{name}")
-        self._publish({"files": [*self.state["files"], name], "sequence": self.state["sequence"] | {str(shard): last + len(ids)}} | more(receipts))
+        self._publish({"files": [*self.state["files"], name], "sequence": self.state["sequence"] | {str(shard): last + len(ids)}, "durable": self.state["durable"] | {str(shard): mark}} | more(receipts))
         return receipts
 
+    def sync(self) -> dict[str, int]:
+        """Every shard's durable watermark becomes its sequence."""
+        self._publish({"durable": dict(self.state["sequence"])})
+        return self.state["durable"]
+
     def purge_expired_idempotency(self, at_ms: int) -> int:
         memo = self.state["idempotency"]
         kept = {k: v for k, v in memo.items() if v["expires"] > at_ms}
@@ -538,6 +547,20 @@ class Store:
             self._publish({"dictionaries": self.state["dictionaries"] | {name: hashlib.sha256(data).hexdigest()}})
         return {"raw": sum(map(len, rows)), "without": plain, "with": with_it, "active": active}
 
+    def configure_compression(self, level: int = 3, min_input: int = 64, min_savings: int = 16, skip_prefixes: tuple[str, ...] = ()) -> None:
+        codec.Policy(level, min_input, min_savings, tuple(skip_prefixes))
+        self._publish({"compression": {"level": level, "min_input": min_input, "min_savings": min_savings, "skip_prefixes": list(skip_prefixes)}})
+
+    def compression_policy(self) -> codec.Policy:
+        p = self.state["compression"]
+        return codec.Policy(**(p | {"skip_prefixes": tuple(p["skip_prefixes"])})) if p else codec.Policy()
+
+    def storage_classes(self) -> dict:
+        return dict(self.state["classes"])
+
+    def capabilities(self) -> dict:
+        return {"kinds": list(KINDS), "metrics": list(vector_search.METRICS), "retention": ["version_ref", "delta", "self_contained"], "shards": self.state["shards"], "max_batch": MAX_BATCH_OPS, "max_page": MAX_PAGE}
+
     # ------------------------------------------------------------ audit, checks, copies
 
     def append_audit_event(self, actor: str, action: str, outcome: str, at_ms: int | None = None) -> int:
@@ -611,6 +634,34 @@ class Store:
             source.copy(n, target)
         return Store(spark, to, json.loads(source.read(next(n for n in source.tree("manifests"))))["shards"])
 
+    def checkpoint(self, to: str) -> Store:
+        """A copy that opens as a store of its own."""
+        self.backup(to)
+        return Store(self.spark, to, self.state["shards"])
+
+    def repair_to_copy(self, to: str) -> Store:
+        """A checkpoint whose derived data is made anew: sequences from the log, every surface rebuilt."""
+        copy = self.checkpoint(to)
+        last = copy.mutations().groupBy("shard").agg(F.max("sequence").alias("last")).collect()  # one row for each shard
+        copy._publish({"sequence": copy.state["sequence"] | {str(r["shard"]): max(r["last"], copy.state["sequence"].get(str(r["shard"]), 0)) for r in last}})
+        for name in copy.state["surfaces"]:
+            copy.rebuild_surface(name)
+        copy.verify()
+        return copy
+
+    @staticmethod
+    def rekey(spark: SparkSession, path: str, to: str, keyring: dict[str, bytes], key: bytes, key_id: str) -> None:
+        """An encrypted export opened with a keyring and sealed again under one key."""
+        aad = F.concat_ws("|", *[F.hex(c) for c in IDENTITY], F.lit(key_id))
+        sealed = F.aes_encrypt("body", F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray()), aad)
+        Store.encrypted_import(spark, path, keyring).select(*IDENTITY, sealed.alias("sealed"), F.lit(key_id).alias("key_id")).write.parquet(to)
+
+    def surface_json(self, name: str) -> str:
+        """A surface's capped rows as one JSON array in component order; its size was bounded when it was built."""
+        rows = self.read_surface(name)[0]
+        size = F.to_json(F.struct(*IDENTITY, "payload", "content_type", "sequence")).alias("j")
+        return "[" + ",".join(r["j"] for r in rows.select(size).collect()) + "]"
+
     def encrypted_export(self, to: str, key: bytes, key_id: str) -> None:
         """Live payload texts and bytes under AES-GCM; the identity and key id are authenticated with them."""
         aad = F.concat_ws("|", *[F.hex(c) for c in IDENTITY], F.lit(key_id))

@@ -1,6 +1,8 @@
 import pytest
 
-from rillstone.schema import ChangeLogGap, Conflict, Corruption, InvalidArgument, LeaseError
+from rillstone.functions import codec
+from rillstone.operators.quota import Guard, Quota
+from rillstone.schema import ChangeLogGap, Conflict, Corruption, InvalidArgument, LeaseError, ResourceLimit
 from rillstone.store import Mutation, Store, identity
 
 C = ("t", "n", "c")
@@ -136,3 +138,46 @@ def test_backup_audit_compression(store, spark, tmp_path):
         Store.verify_backup(spark, str(tmp_path / "b"))
     store.encrypted_export(str(tmp_path / "e"), b"k" * 16, "k1")
     assert Store.encrypted_import(spark, str(tmp_path / "e"), {"k1": b"k" * 16}).filter("body is not null").count() == 9
+
+
+def test_durability_copies_and_codec(store, spark, tmp_path):
+    a = ident("a")
+    store.append(a, "x" * 200)
+    relaxed = store.atomic_batch([Mutation(ident("b"), "y")], durable=False)[0]
+    assert relaxed.durable == 1 and relaxed.sequence == 2 and store.sync()[str(relaxed.shard)] == 2
+    store.create_surface("s", C, ["pending"], max_records=1)
+    store.build_surface("s")
+    assert store.surface_json("s").startswith("[{")
+    copy = store.repair_to_copy(str(tmp_path / "copy"))
+    assert copy.verify()["heads"] == 2 and copy.read_surface("s")[0].count() == 1
+    store.configure_compression(level=6, skip_prefixes=("image/",))
+    p = store.compression_policy()
+    frame = codec.encode(b"z" * 1000, p)
+    assert len(frame) < 100 and codec.decode(frame) == b"z" * 1000
+    assert codec.encode(b"z" * 1000, p, "image/png")[0] == 0
+    with pytest.raises(Corruption):
+        codec.decode(frame[:-1] + b"!")
+    df = spark.createDataFrame([("k", bytearray(b"q" * 300)), ("n", None)], "k string, d binary")
+    assert {r["key"]: r["data"] and bytes(r["data"]) for r in codec.decoded(codec.encoded(df, "k", "d")).collect()} == {"k": b"q" * 300, "n": None}
+    store.encrypted_export(str(tmp_path / "e1"), b"k" * 16, "old")
+    Store.rekey(spark, str(tmp_path / "e1"), str(tmp_path / "e2"), {"old": b"k" * 16}, b"n" * 16, "new")
+    assert Store.encrypted_import(spark, str(tmp_path / "e2"), {"new": b"n" * 16}).filter("body is not null").count() == 2
+    assert store.capabilities()["shards"] == 4
+
+
+def test_quota():
+    now = [0.0]
+    guard = Guard(Quota(max_bytes=10, per_second=2, in_flight=1, vector_work=100), lambda: now[0])
+    with guard.request("t"):
+        with pytest.raises(ResourceLimit), guard.request("t"):
+            pass
+    for bad in ({"size": 11}, {"dim": 64, "scan": 2}):
+        with pytest.raises(ResourceLimit), guard.request("t", **bad):
+            pass
+    with guard.request("t"):
+        pass
+    with pytest.raises(ResourceLimit), guard.request("t"):
+        pass
+    now[0] = 2.0
+    with guard.request("t"):
+        pass
