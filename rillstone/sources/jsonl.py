@@ -9,28 +9,32 @@ stay JSON text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.operators.records import bounded
 from rillstone.schema import Corruption
 
 FRAME_MOST = 17 << 20
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(line, n): lines of the export with their number inside the whole export.
+    """Frames of an export.  A line's number is its file, its split's first byte and its place there, so no global sort is needed."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    digits = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    return frames(lines.select(F.concat_ws("|", "file", digits("start"), digits("at")).alias("n"), F.col("value").alias("line")))
 
-    One export is one ordered stream: it is read with its byte order kept by (file, row in file).
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return frames(lines.withColumn("n", F.row_number().over(Window.orderBy("file", "at"))).select("n", F.col("value").alias("line")))
 
+def frames(lines: DataFrame, most_tables: int = 10_000) -> DataFrame:
+    """lines(n, line), n of any ordered type -> (n, type, segment, table, primary_key, ctid, tableoid, row, rows, size).
 
-def frames(lines: DataFrame) -> DataFrame:
-    """(n, type, segment, table, primary_key, ctid, tableoid, row, rows): segment counts the table frames so far."""
+    segment counts the table frames so far.  Table frames are few (at most ``most_tables``), so their numbers are a literal
+    of the plan and every row finds its segment by itself.
+    """
     get = lambda p: F.get_json_object("line", f"$.{p}")
     typed = lines.select("n", "line", get("type").alias("type"))
-    segment = F.sum(F.when(F.col("type") == "table", 1).otherwise(0)).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    starts = [r["n"] for r in bounded(typed.filter("type = 'table'").select("n"), most_tables).collect()]
+    segment = F.size(F.filter(F.array(*[F.lit(n) for n in sorted(starts)]), lambda x: x <= F.col("n"))) if starts else F.lit(0)
     return typed.withColumn("segment", segment).select(
         "n", "type", "segment", F.concat_ws(".", get("schema"), get("table")).alias("table"), F.from_json(get("primary_key"), "array<string>").alias("primary_key"),
         get("ctid").alias("ctid"), get("tableoid").alias("tableoid"), get("row").alias("row"), get("rows").cast("long").alias("rows"), get("tables").alias("tables"), F.octet_length("line").alias("size"),
