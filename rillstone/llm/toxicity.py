@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import batches, id_crc32, mixed, word_hashes
+from rillstone.llm.common import about, batches, id_crc32, mixed, word_hashes
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,8 @@ class Settings:
     l1: float = 6.0
     l2: float = 0.5
     epochs: int = 3
-    most_rows: int = 20_000
-    most_bytes: int = 64 << 20
+    most_rows: int = 12_000
+    most_bytes: int = 32 << 20
     threshold: float = 0.3
 
 
@@ -81,17 +81,16 @@ class Ftrl:
 def train(rows: list[tuple[bytes | None, int]], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers with a weight, their weights, bias) from (text, label) rows in the given order."""
     model = Ftrl(s)
-    xs = [features(h, s.bits) for h in _documents([t for t, _ in rows])]
+    xs = [features(h, s.bits) for k in range(0, len(rows), 64) for h in _documents([t for t, _ in rows[k : k + 64]])]
     for _ in range(s.epochs):
         for x, (_, y) in zip(xs, rows, strict=True):
             model.learn(x, y)
-    w = model.weights(slice(0, -1))
-    at = np.flatnonzero(w)
-    return at, w[at].astype(np.float32), model.bias()
+    at = np.flatnonzero(np.abs(model.z[:-1]) > s.l1)
+    return at, model.weights(at).astype(np.float32), model.bias()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=None) -> list[tuple[bytes | None, int]]:
-    """A bounded, reproducible sample of labelled texts: at most ``most_rows`` rows and ``most_bytes`` bytes.
+    """A bounded, reproducible sample of labelled texts: about ``most_rows`` ids and at most ``most_bytes`` bytes.
 
     Labels other than 0 and 1 and null ids are left out; ids labelled both ways count as toxic.  The order is by a hash of
     the id, so it depends on neither partitions nor source.
@@ -100,12 +99,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=Non
     if may_learn is not None:
         marks = marks.filter(may_learn(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(s.most_rows)
+    chosen = about(marks, "_id", s.most_rows, marks.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    # a text's share of the sample is bounded too: the sample is at most most_rows rows, each cut only if over the byte bound
+    # chosen has about most_rows ids
     rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_toxic", F.col("_text").cast("binary").alias("t"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size"))
     ordered = rows.select("_id", "_toxic", "size", F.xxhash64("_id", "t").alias("mark"))
-    sizes = ordered.collect()  # at most most_rows rows of four numbers
+    sizes = ordered.collect()  # about most_rows rows of four numbers
     sizes.sort(key=lambda r: (r["mark"], r["_id"]))
     total, last = 0, None
     for r in sizes:
