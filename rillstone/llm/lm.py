@@ -13,6 +13,7 @@ meet the counts; back come sums for each document, in blobs by chunk of document
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import batches, buckets_for, id_crc32, word_hashes, written
+from rillstone.llm.common import about, batches, buckets_for, id_crc32, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -256,8 +257,7 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_docs = may_learn.count()
     n_all, v_all = total["n"] + n_docs, total["v"] + (n_docs > 0)
-    top = counts.orderBy(F.desc("n"), "hash").limit(s.known).toArrow()  # at most ``known`` rows
-    hashes, n_of = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.int64)
+    hashes, n_of = _most_frequent(counts, s.known)
     k = s.classes * s.words
     head = np.concatenate((np.array([END_HASH]), hashes[: k - 1]))
     head_n = np.concatenate(([n_docs], n_of[: k - 1]))
@@ -271,7 +271,7 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         at = np.minimum(np.searchsorted(head_sorted, h), len(head_sorted) - 1)
         return np.where(head_sorted[at] == h, head_ids[at], k)
 
-    sample = may_learn.filter(F.octet_length("text") <= 1 << 16).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(s.sample_rows)
+    sample = about(may_learn.filter(F.octet_length("text") <= 1 << 16), "doc_id", s.sample_rows, n_docs)
     net = train(s, _sampled(sample, s, to_ids), head_n, rest_n)
     held = spark.sparkContext.broadcast((net.p, head_sorted, head_ids, known_sorted, known_n))
     buckets = buckets_for(docs)
@@ -387,10 +387,32 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return done.select("doc_id", _is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the most frequent words, at most ``most``, by falling count.
+
+    A histogram of the counts' logarithms (64 steps to a doubling) gives the step from which up no more than ``most`` words lie, so
+    only those reach the driver.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["s"])  # at most 64 * 63 rows
+    total, least = 0, None
+    for r in steps:
+        total += r["k"]
+        if total > most:
+            break
+        least = r["s"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    top = counts.filter(step >= least).toArrow()
+    h, n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((h, -n))
+    return h[order], n[order]
+
+
 def _sampled(sample: DataFrame, s: Settings, to_ids) -> list[np.ndarray]:
     rows = sample.select("doc_id", F.col("text").cast("binary").alias("t"), F.octet_length("text").alias("size")).collect()
     out, size = [], 0
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), bytes(r["t"]))):
         size += r["size"]
         if size > s.sample_bytes:
             break
