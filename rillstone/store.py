@@ -362,9 +362,28 @@ class Store:
         self._commit([id], [{c: row[c] for c in ("payload", "content_type", "expires_ms", "metadata")} | {"workflow": w | change, "op": op, "tombstone": False, "delta": None}], {id: row}, at)
         return w | change
 
-    def claim(self, parts: tuple[bytes, bytes, bytes, bytes], lease_ms: int, limit: int = 1, at_ms: int | None = None, margin_ms: int = LEASE_MARGIN_MS) -> list[dict]:
-        """Lease pending records in key order, then records whose lease ran out by deadline; one batch of one partition."""
+    def claim(self, parts: tuple[bytes, bytes, bytes, bytes], lease_ms: int, limit: int = 1, at_ms: int | None = None, margin_ms: int = LEASE_MARGIN_MS, request: bytes | None = None, request_ttl_ms: int = 86_400_000) -> list[dict]:
+        """Lease pending records in key order, then records whose lease ran out by deadline; one batch of one partition.
+
+        With ``request``, a repeated call returns the first call's leases, also if it found nothing; other arguments are a Conflict.
+        """
         at = now_ms() if at_ms is None else at_ms
+        key, mark = f"claim/{request.hex()}" if request else None, repr((parts, lease_ms, limit))
+        if key and (seen := self.state["idempotency"].get(key)) and seen["expires"] > at:
+            if seen["mark"] != mark:
+                raise Conflict("the request's hash was used for another claim")
+            out = []
+            for sequence, *hexes in seen["receipts"]:
+                i = tuple(bytes.fromhex(h) for h in hexes)
+                row = self.get_version(i, sequence)
+                out.append({"id": i, "payload": row["payload"]} | row["workflow"] | {"lease_id": bytes(row["workflow"]["lease_id"])})
+            return out
+
+        def memo(receipts: list[Receipt]) -> dict:
+            if not key:
+                return {}
+            return {"idempotency": self._copy("idempotency") | {key: {"mark": mark, "expires": at + request_ttl_ms, "receipts": [[r.sequence, *(p.hex() for p in r.id)] for r in receipts]}}}
+
         if self._mode(parts[:3]) == "delta":
             raise Unsupported("a delta collection has no work queue")
         w = F.col("workflow")
@@ -372,6 +391,8 @@ class Store:
         live = records.live(self._only(self.heads(), parts), at).filter((w.state == "pending") | over)
         rows = live.withColumn("_at", F.when(w.state == "leased", w.deadline_ms).otherwise(0)).orderBy("_at", *keys.scan_order()).limit(min(limit, MAX_PAGE)).drop("_at").collect()
         if not rows:
+            if key:
+                self._publish(memo([]))
             return []
         ids, out, heads = [], [], {}
         for r in rows:
@@ -381,7 +402,7 @@ class Store:
             ids.append(i)
             heads[i] = row
             out.append({c: row[c] for c in ("payload", "content_type", "expires_ms", "metadata")} | {"workflow": new, "op": "claim", "tombstone": False, "delta": None})
-        self._commit(ids, out, heads, at)
+        self._commit(ids, out, heads, at, memo)
         return [{"id": i, "payload": o["payload"]} | o["workflow"] | {"lease_id": bytes(o["workflow"]["lease_id"])} for i, o in zip(ids, out, strict=True)]
 
     def heartbeat(self, id: Id, lease: bytes, fencing: int, lease_ms: int, at_ms: int | None = None) -> dict:

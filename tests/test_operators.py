@@ -22,6 +22,15 @@ def test_vector_rules(spark):
     assert vectors.scores_equivalent([(1, 1.0)], [(1, 1.00001)]) and not vectors.scores_equivalent([(1, 1.0)], [(2, 1.0)])
 
 
+def test_accelerated_top_k(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = list(rows.filter("vec_id = 3").first()["embedding"])
+    for metric in ("dot", "cosine"):
+        a = [(r["vec_id"], r["score"]) for r in vector_search.exact_top_k(rows, "embedding", q, 20, [F.col("vec_id")], metric).collect()]
+        b = [(r["vec_id"], r["score"]) for r in vector_search.accelerated_top_k(rows, "embedding", "vec_id", q, 20, metric).collect()]
+        assert vectors.scores_equivalent(a, b)
+
+
 def test_orders_differ(spark):
     rows = spark.createDataFrame([(b"b",), (b"aa",), (b"a",)], "key binary")
     assert [bytes(r[0]) for r in rows.orderBy(*keys.scan_order(("key",))).collect()] == [b"a", b"b", b"aa"]

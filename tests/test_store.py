@@ -88,6 +88,17 @@ def test_workflow_fencing(store):
     assert store.publish(a, at_ms=20_700)["state"] == "published" == store.publish(a)["state"]
 
 
+def test_claim_replay(store):
+    part = ident("a")[:4]
+    assert store.claim(part, 1000, at_ms=1, request=b"0") == []
+    store.append(ident("a"), "job")
+    assert store.claim(part, 1000, at_ms=2, request=b"0") == []
+    first = store.claim(part, 1000, at_ms=3, request=b"1")
+    assert len(first) == 1 and store.claim(part, 1000, at_ms=4, request=b"1") == first
+    with pytest.raises(Conflict):
+        store.claim(part, 2000, at_ms=4, request=b"1")
+
+
 def test_surfaces_incremental_equals_rebuild(store):
     for k in ("a", "bb", "c"):
         store.append(ident(k), k)
