@@ -203,7 +203,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     are called.
     """
     kept = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    rows = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
     named = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in named])
     one = rows.groupBy("doc_id").agg(F.min(whole).alias("row"))
