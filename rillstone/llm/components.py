@@ -9,7 +9,8 @@ from rillstone.llm.common import drop, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    """(a, m), as a table: the join with it then shuffles both sides itself, so Spark can split a hub's edges."""
+    return written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
