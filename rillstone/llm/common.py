@@ -27,14 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
 
-    The folder stays until ``drop`` or until the shared folder is emptied.
+    ``by``: a column whose values get a folder each, so that a filter on it reads no others.  The folder stays until ``drop`` or until the shared folder is emptied.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._rillstone_path = path
     return out

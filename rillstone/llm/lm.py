@@ -3,9 +3,12 @@
 Counts of all training documents' tokens are aggregated in Spark.  The most frequent words are the network's own
 vocabulary, in classes of equal size by frequency; every other word is one further class, inside which its chance is
 (c + 1) / (N_rest + V_rest + 1) from the counts.  So a token's log-probability is class plus word in class, and the whole
-is a distribution over known words and one unknown.  The network learns by truncated backpropagation through time on a
-bounded sample of training documents (``Settings.sample_rows``, ``sample_bytes``, ``sample_tokens``); it scores whole documents, its
-state carried from window to window.
+is a distribution over known words and one unknown.  The network learns by truncated backpropagation through time from all
+training documents; it scores whole documents, its state carried from window to window.
+
+Training deals the documents by hash to shards of about ``Settings.shard_tokens`` tokens, so their number grows with the
+input and a shard's size doesn't.  Rounds of 1, 2, 4, 8, ... shards take each shard once: the shards of a round learn side by
+side from the same network, and the next round starts from the mean of theirs, weighted by tokens.
 
 The rest's counts don't fit a broadcast, so scoring sends (word hash, document) pairs to the hash's bucket, where they
 meet the counts; back come sums for each document, in blobs by chunk of documents.
@@ -13,7 +16,6 @@ meet the counts; back come sums for each document, in blobs by chunk of document
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import about, batches, buckets_for, id_crc32, word_hashes, written
+from rillstone.llm.common import batches, buckets_for, drop, id_crc32, mixed, word_hashes, written
 
 
 @dataclass(frozen=True)
 class Settings:
     """classes x words: the network's vocabulary; hidden: its width; known: words whose counts are broadcast.
 
-    sample_*: bound of the training sample; only documents of at most 64 KiB are sampled (all are counted and scored).
+    shard_tokens: about how many tokens one task learns in a row; a document over a sixteenth of it is dealt in pieces.
     """
 
     classes: int = 64
@@ -38,9 +40,7 @@ class Settings:
     window: int = 16
     streams: int = 48
     rate: float = 0.08
-    sample_rows: int = 4_000
-    sample_bytes: int = 16 << 20
-    sample_tokens: int = 900_000
+    shard_tokens: int = 1 << 20
     chunk_words: int = 800_000
 
 
@@ -130,17 +130,22 @@ class Network:
         dh = d @ p["wc"].T
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(s.classes + 1))
-        for c in range(s.classes):
-            at = order[cut[c] : cut[c + 1]]
-            if not len(at):
-                continue
-            lw = _log_softmax(flat[at] @ p["ww"][c] + p["bw"][c])
-            own = goal[at] - c * s.words
-            total += lw[np.arange(len(at)), own].sum()
-            d = np.exp(lw)
-            d[np.arange(len(at)), own] -= 1
-            grad["ww"][c], grad["bw"][c] = flat[at].T @ d, d.sum(0)
-            dh[at] += d @ p["ww"][c].T
+        order = order[: cut[-1]]  # by class, without other words
+        by, own, of = flat[order], goal[order] - cls[order] * s.words, cls[order]
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        d = p["bw"][of]
+        for c in some:
+            d[cut[c] : cut[c + 1]] += by[cut[c] : cut[c + 1]] @ p["ww"][c]
+        d = _log_softmax(d)
+        total += d[np.arange(len(own)), own].sum()
+        np.exp(d, out=d)
+        d[np.arange(len(own)), own] -= 1
+        down = np.empty_like(by)
+        for c in some:
+            at = slice(cut[c], cut[c + 1])
+            grad["ww"][c], grad["bw"][c] = by[at].T @ d[at], d[at].sum(0)
+            down[at] = d[at] @ p["ww"][c].T
+        dh[order] += down
         dh = dh.reshape(steps, -1, n)
         back, gx = np.zeros_like(h), np.empty((steps, h.shape[0], 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -163,28 +168,107 @@ class Network:
             v = np.clip(v * scale, -1, 1)
             self.g[k] += v * v
             p[k] -= s.rate * v / np.sqrt(self.g[k])
-        rows, inverse = np.unique(inputs.ravel(), return_inverse=True)
-        gs = np.zeros((len(rows), 3 * n), np.float32)
-        np.add.at(gs, inverse, gx)
-        gs = np.clip(gs * scale, -1, 1)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        rows, first = np.unique(inputs.ravel()[order], return_index=True)
+        gs = np.clip(np.add.reduceat(gx[order], first, axis=0) * scale, -1, 1)
         self.g["x"][rows] += gs * gs
         p["x"][rows] -= s.rate * gs / np.sqrt(self.g["x"][rows])
         return h, float(total / m)
 
 
-def train(s: Settings, documents: list[np.ndarray], counts: np.ndarray, rest: float) -> Network:
-    """A network from documents of token ids, each with its end."""
-    net = Network(s, counts, rest)
-    stream = np.concatenate(documents)[: s.sample_tokens] if documents else np.empty(0, np.int64)
-    width = min(s.streams, max(1, len(stream) // (2 * s.window)))
-    length = len(stream) // width
-    if length < 2:
+def train(s: Settings, documents: list[np.ndarray], counts: np.ndarray, rest: float, net: Network | None = None) -> Network:
+    """A network (``net`` itself, if given) that has learned every token of documents of token ids, each with its end."""
+    net = net or Network(s, counts, rest)
+    stream = np.concatenate(documents) if documents else np.empty(0, np.int64)
+    if len(stream) < 2:
         return net
-    grid = stream[: width * length].reshape(width, length).T
+    width = min(s.streams, max(1, len(stream) // (2 * s.window)))
+    length = -(-(len(stream) - 1) // width)
+    # the last stream is filled up from the first tokens
+    inputs, targets = (np.resize(x, width * length).reshape(width, length).T for x in (stream[:-1], stream[1:]))
     h = np.zeros((width, s.hidden), np.float32)
-    for t in range(0, length - 1, s.window):
-        stop = min(length - 1, t + s.window)
-        h, _ = net.learn(grid[t:stop], grid[t + 1 : stop + 1], h)
+    for t in range(0, length, s.window):
+        h, _ = net.learn(inputs[t : t + s.window], targets[t : t + s.window], h)
+    return net
+
+
+#: A network travels in so many pieces of equal size, which are averaged apart.
+PIECES = 512
+
+
+def _flat(net: Network) -> np.ndarray:
+    """Weights and step sizes in a row, filled up with zeros to ``PIECES`` equal pieces."""
+    v = np.concatenate([x.ravel() for held in (net.p, net.g) for x in held.values()])
+    return np.append(v, np.zeros(-len(v) % PIECES, np.float32)).reshape(PIECES, -1)
+
+
+def _set_flat(net: Network, values: np.ndarray) -> None:
+    values, at = values.ravel(), 0
+    for held in (net.p, net.g):
+        for k, x in held.items():
+            held[k] = values[at : at + x.size].reshape(x.shape).copy()
+            at += x.size
+
+
+def trained(docs: DataFrame, s: Settings, to_ids, counts: np.ndarray, rest: float, n_tokens: int) -> Network:
+    """A network that has learned from all of docs(doc_id, text), which have ``n_tokens`` tokens with their ends.
+
+    The shard of a document, or of a piece of a long one, and its place there come from a hash of id and text, so the result
+    depends on neither partitions nor files.
+    """
+    net = Network(s, counts, rest)
+    if not n_tokens:
+        return net
+    shards, most = -(-n_tokens // s.shard_tokens), max(2, s.shard_tokens // 16)
+    kind = np.uint16 if net.k < 1 << 16 else np.uint32
+
+    def spread(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for marks, texts in batches(rows, most=1 << 20):
+            h, n = _tokens(texts)
+            ids, ends = to_ids(h).astype(kind), np.cumsum(n)
+            out = []
+            for mark, a, b in zip(marks, ends - n, ends, strict=True):
+                own = np.append(ids[a:b], kind(0))
+                for number, start in enumerate(range(0, len(own), most)):
+                    place = mixed(np.array([mark, number], np.int64).view(np.uint64))
+                    place = mixed(place[:1] + place[1:])[0]
+                    shard = int(place % np.uint64(shards))
+                    out.append(((shard + 1).bit_length() - 1, shard, int(place.view(np.int64)), own[start : start + most].tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["round", "shard", "place", "ids"])
+
+    marked = docs.select(F.xxhash64("doc_id", "text").alias("mark"), "text")
+    dealt = written(marked.mapInArrow(spread, "round int, shard long, place long, ids binary"), "tokens", "round")
+    for number in range(shards.bit_length()):
+        start = docs.sparkSession.sparkContext.broadcast(net)
+
+        def learn(key, table):
+            import pyarrow as pa
+
+            own = Network.__new__(Network)
+            own.s, own.k = s, start.value.k
+            own.p, own.g = ({k: v.copy() for k, v in held.items()} for held in (start.value.p, start.value.g))
+            parts = sorted(zip(table.column("place").to_pylist(), table.column("ids").to_pylist(), strict=True))
+            documents = [np.zeros(1, np.int64), *(np.frombuffer(x, kind).astype(np.int64) for _, x in parts)]
+            values, n = _flat(train(s, documents, counts, rest, own)), sum(map(len, documents))
+            return pa.table({"piece": pa.array(range(PIECES), pa.int32()), "shard": pa.array([key[0].as_py()] * PIECES, pa.int64()), "n": pa.array([n] * PIECES, pa.int64()), "data": pa.array([x.tobytes() for x in values], pa.binary())})
+
+        def mean(key, table):
+            import pyarrow as pa
+
+            total, sums = 0, 0.0
+            for _, n, data in sorted(zip(*(table.column(x).to_pylist() for x in ("shard", "n", "data")), strict=True)):
+                total, sums = total + n, sums + n * np.frombuffer(data, np.float32).astype(np.float64)
+            return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())})
+
+        learned = dealt.filter(F.col("round") == number).groupBy("shard").applyInArrow(learn, "piece int, shard long, n long, data binary")
+        rows = learned.groupBy("piece").applyInArrow(mean, "piece int, data binary").collect()  # one network
+        if rows:
+            _set_flat(net, np.stack([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])]))
+        start.destroy()
+    drop(dealt)
     return net
 
 
@@ -271,8 +355,7 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         at = np.minimum(np.searchsorted(head_sorted, h), len(head_sorted) - 1)
         return np.where(head_sorted[at] == h, head_ids[at], k)
 
-    sample = about(may_learn.filter(F.octet_length("text") <= 1 << 16), "doc_id", s.sample_rows, n_docs)
-    net = train(s, _sampled(sample, s, to_ids), head_n, rest_n)
+    net = trained(may_learn, s, to_ids, head_n, rest_n, n_all)
     held = spark.sparkContext.broadcast((net.p, head_sorted, head_ids, known_sorted, known_n))
     buckets = buckets_for(docs)
 
@@ -407,15 +490,3 @@ def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
     h, n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.int64)
     order = np.lexsort((h, -n))
     return h[order], n[order]
-
-
-def _sampled(sample: DataFrame, s: Settings, to_ids) -> list[np.ndarray]:
-    rows = sample.select("doc_id", F.col("text").cast("binary").alias("t"), F.octet_length("text").alias("size")).collect()
-    out, size = [], 0
-    for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), bytes(r["t"]))):
-        size += r["size"]
-        if size > s.sample_bytes:
-            break
-        h, _ = _tokens([bytes(r["t"])])
-        out.append(np.append(to_ids(h), 0))
-    return [np.array([0])] + out if out else []

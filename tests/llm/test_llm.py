@@ -109,6 +109,21 @@ def test_lm_scores(docs, nothing):
     assert lm.scored(nothing, s).count() == 0
 
 
+def test_lm_learns_from_all_documents(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:5]
+    held = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2)
+    r = random.Random(8)
+    noise = [(i, " ".join(r.choice(WORDS[:4]) for _ in range(30))) for i in ids[1:]]
+    rows = [(ids[0], " ".join(WORDS[:4] * 4_000)), *noise, (held, " ".join(WORDS[:4] * 50))]  # the long text is over 64 KiB
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (1 << 20, 4096):  # one shard; four shards in three rounds
+        s = lm.Settings(classes=3, words=4, hidden=8, rate=0.1, window=8, streams=4, shard_tokens=shard)
+        got = by_id(lm.scored(df, s), "base_score", "score")
+        assert got[held][1] > 0.5 * got[held][0]  # in the log: chance of a word above its share
+        again = by_id(lm.scored(df.repartition(4), s), "score")
+        assert all(math.isclose(again[i][0], got[i][1], rel_tol=1e-4) for i in again)
+
+
 def test_lm_is_a_distribution_and_learns():
     s = lm.Settings(classes=3, words=4, hidden=8, rate=0.1, window=8, streams=4)
     net = lm.Network(s, np.arange(12, 0, -1), 5.0)
