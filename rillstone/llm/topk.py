@@ -111,7 +111,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, smallest id) of each query so far."""
+    """The k best (score, smallest id) of each query so far; the same id with the same score counts once."""
 
     def __init__(self, n: int, k: int) -> None:
         self.k, self.scores, self.ids = k, np.full((n, k), np.iinfo(np.int64).min), np.full((n, k), np.iinfo(np.int64).max)
@@ -123,7 +123,8 @@ class _Best:
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         on = self.filled[q]
         s, i = np.concatenate((self.scores[q][on], scores)), np.concatenate((self.ids[q][on], ids))
-        top = np.lexsort((i, -s))[: self.k]
+        top = np.lexsort((i, -s))
+        top = top[np.concatenate(([True], (s[top[1:]] != s[top[:-1]]) | (i[top[1:]] != i[top[:-1]])))][: self.k]
         self.scores[q, : len(top)], self.ids[q, : len(top)], self.filled[q, : len(top)] = s[top], i[top], True
 
 
@@ -141,6 +142,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tu
             break  # later blocks are shorter
         x = m.astype(float) @ turn
         rest = np.sqrt((x[:, head:] ** 2).sum(1))
+        single = len(np.unique(ids)) == len(ids)  # repeated rows would fill the k places of the cut below
         for start in range(0, len(live), 256):
             rows = live[start : start + 256]
             bound = q[rows, :head] @ x[:, :head].T + q_rest[rows, None] * rest[None, :]
@@ -154,7 +156,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tu
             good = ok[:, need] & (ids[need][None, :] != query_ids[rows][:, None]) & (scores >= np.where(np.isneginf(floor[rows]), np.iinfo(np.int64).min, floor[rows]).astype(np.int64)[:, None])
             for r in np.flatnonzero(good.any(1)):
                 at = np.flatnonzero(good[r])
-                if len(at) > 4 * k:
+                if single and len(at) > 4 * k:
                     cut = np.partition(scores[r, at], len(at) - k)[len(at) - k]
                     at = at[scores[r, at] >= cut]
                 best.add(int(rows[r]), scores[r, at], ids[need][at])
@@ -166,7 +168,8 @@ def top_k(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "
 
     ``is_query`` is a column over vec_id.  Null vectors and ids, empty vectors and vectors with a null or non-finite component
     take no part; vectors meet only those of their own width.  Fewer than k others: all of them.  Rows that repeat a query's
-    vec_id count as the query's own and are no candidates for it; repeated queries give their result once.  Columns
+    vec_id count as the query's own and are no candidates for it; repeated queries give their result once.
+    Rows that repeat a vec_id with the same score take one rank (TOP_K_SQL gives each its own).  Columns
     beside the two named aren't read.
     """
     rows = written(_usable(df, id_col, vec_col, scale), "vectors")

@@ -336,6 +336,14 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), lambda i: i == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    vectors = {i: [float(i), 1.0] for i in range(40)}
+    rows = [*vectors.items(), *[(39, vectors[39])] * 50, *[(38, vectors[38])] * 7]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, lambda i: F.pmod(i, F.lit(10)) == 0).collect()))
+    assert got == sorted(brute.top_k(vectors, [0, 10, 20, 30], 5))
+
+
 def test_pruning_drops_pairs_but_no_result():
     r = np.random.default_rng(5)
     m = (r.standard_normal((3000, 16)) * np.geomspace(8, 0.1, 16) * 256).astype(np.int64)
