@@ -93,7 +93,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=Non
     """A bounded, reproducible sample of labelled texts: about ``most_rows`` ids and at most ``most_bytes`` bytes.
 
     Labels other than 0 and 1 and null ids are left out; ids labelled both ways count as toxic.  The order is by a hash of
-    the id, so it depends on neither partitions nor source.
+    the id, so it depends on neither partitions nor source; a text that doesn't fit any more is skipped.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_toxic in (0, 1) and _id is not null")
     if may_learn is not None:
@@ -106,15 +106,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=Non
     ordered = rows.select("_id", "_toxic", "size", F.xxhash64("_id", "t").alias("mark"))
     sizes = ordered.collect()  # about most_rows rows of four numbers
     sizes.sort(key=lambda r: (r["mark"], r["_id"]))
-    total, last = 0, None
+    total, fit = 0, set()
     for r in sizes:
-        total += r["size"]
-        if total > s.most_bytes:
-            break
-        last = r["mark"]
-    if last is None:
+        if (r["_id"], r["mark"]) in fit or total + r["size"] <= s.most_bytes:
+            total += r["size"]
+            fit.add((r["_id"], r["mark"]))
+    if not fit:
         return []
-    got = rows.filter(F.xxhash64("_id", "t") <= F.lit(last)).collect()
+    marked = rows.withColumn("mark", F.xxhash64("_id", "t"))
+    if len(fit) < len({(r["_id"], r["mark"]) for r in sizes}):
+        marked = marked.join(F.broadcast(docs.sparkSession.createDataFrame(sorted(fit), "_id long, mark long")), ["_id", "mark"], "left_semi")
+    got = marked.select("_id", "_toxic", "t").collect()
     got.sort(key=lambda r: (hash_order(r["_id"]), r["t"] or b""))
     return [(None if r["t"] is None else bytes(r["t"]), r["_toxic"]) for r in got]
 
@@ -129,7 +131,11 @@ def scored(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), may_lea
     score is in 0..1, also for null and empty texts (the bias alone).  Without labelled rows every score is 0.5 and
     predicted 1 only if the threshold says so.  Existing columns named score or predicted are replaced.
     """
-    at, w, bias = train(training_rows(docs, labels, s, may_learn), s)
+    return _scored(docs, training_rows(docs, labels, s, may_learn), s)
+
+
+def _scored(docs: DataFrame, rows: list[tuple[bytes | None, int]], s: Settings) -> DataFrame:
+    at, w, bias = train(rows, s)
     held = docs.sparkSession.sparkContext.broadcast((at, w, bias, s.bits))
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
@@ -162,7 +168,10 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Rows of docs that the classifier does not reject, with docs' columns."""
+    """Rows of docs that the classifier does not reject, with docs' columns; all, if there is nothing to learn from."""
     names = docs.columns
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    return scored(typed, labels, s).filter("predicted = 0").select(*[F.col(f"`{c}`") for c in names])
+    rows = training_rows(typed, labels, s)
+    if not rows:
+        return typed
+    return _scored(typed, rows, s).filter("predicted = 0").select(*[F.col(f"`{c}`") for c in names])

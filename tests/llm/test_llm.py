@@ -432,6 +432,15 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.held_out_scores(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_skips_texts_that_do_not_fit(spark):
+    rows = [(i, f"word{i} " * (1000 if i % 7 == 3 else 2)) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, toxicity.Settings(most_bytes=1000))
+    assert sorted(t.decode() for t, _ in got) == sorted(t for i, t in rows if i % 7 != 3)
+    assert toxicity.without_toxic(docs, labels.limit(0)).count() == toxicity.without_toxic(docs, labels, toxicity.Settings(most_bytes=1)).count() == 24
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
