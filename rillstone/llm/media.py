@@ -237,8 +237,10 @@ def sniff_column(df: DataFrame, id_col: str, data_col: str, declared_col: str) -
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
-    """Each document's text stored as 8-bit samples of a WAV file, misdeclared on purpose, sniffed and read back.
+    """Each document's text stored as 8-bit samples of a WAV file, sniffed and read back.
 
+    Only the file just built is sniffed: its hit at 0 covers the whole value, so magic bytes in the samples are counted and
+    neither validated nor carved, and no type is declared.  ``detected_type`` and ``sniff_column`` do that work.
     A null text counts as empty, and an empty text becomes one frame of 192 blanks.  Repeated rows give repeated rows.
     The payload digests are taken from the carved bytes, never from the text.  Reads doc_id and text only.
     """
