@@ -84,7 +84,7 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser)."""
+    """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser; its two multipliers are fixed public values)."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -93,12 +93,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer words take XXH3: from 1,024 bytes on, a polynomial modulo 2**64 has equal values for some different words at every base.
+SHORT_WORD = 64
+
+
 def word_hashes(texts: list[bytes], at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word of all texts in order, number of words of each text).
 
-    A word's hash is a polynomial over its bytes with an odd base modulo 2**64, mixed; it comes from prefix sums over
-    the joined bytes, so there is no Python object for a word.  About ``at_once`` bytes are joined at a time, which
-    keeps the arrays in the processor's cache.
+    The hash of a word of at most ``SHORT_WORD`` bytes is a polynomial over its bytes with an odd base modulo 2**64, mixed;
+    it comes from prefix sums over the joined bytes, so there is no Python object for a word.  A longer word's is its
+    XXH3.  About ``at_once`` bytes are joined at a time, which keeps the arrays in the processor's cache.
     """
     parts, start, total = [], 0, 0
     for i, t in enumerate(texts):
@@ -112,7 +116,10 @@ def word_hashes(texts: list[bytes], at_once: int = 1 << 17) -> tuple[np.ndarray,
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    import xxhash
+
+    joined = b" ".join(texts) + b" "
+    raw = np.frombuffer(joined, np.uint8)
     space = _SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
@@ -123,6 +130,8 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    for k in np.flatnonzero(ends - starts > SHORT_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]])
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(starts, bounds))
 

@@ -13,17 +13,19 @@ def _least(edges: DataFrame) -> DataFrame:
     return written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step, as a table; the tables between are deleted."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.filter("b > a").join(_least(both), "a")
-    return near.select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    least = _least(down)
-    near = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return near.union(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
+    first = _least(both)
+    near = both.filter("b > a").join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b"), "large")
+    drop(first)
+    second = _least(large)
+    joined = large.join(second, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    after = written(joined.union(second.select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "edges")
+    drop(large)
+    drop(second)
+    return after
 
 
 def component_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -36,7 +38,7 @@ def component_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        after = written(_small_star(_large_star(now)), "edges")
+        after = _stars(now)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         drop(now)
         now = after

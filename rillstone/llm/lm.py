@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -113,26 +114,34 @@ class Network:
         A stream whose input is the end starts a document: its state is cleared.
         """
         p, s, n = self.p, self.s, self.s.hidden
-        steps, states, kept = len(inputs), [], []
+        steps, streams = inputs.shape
+        u, un = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
+        given = p["x"][inputs] + p["b"]  # what the inputs add to the gates, for the whole window at once
+        starts = (inputs == 0)[:, :, None]
+        before = np.empty((steps, streams, n), given.dtype)
+        gates, new, after = np.empty((steps, streams, 2 * n), given.dtype), np.empty_like(before), np.empty_like(before)
         for t in range(steps):
-            h = np.where((inputs[t] == 0)[:, None], np.float32(0), h)
-            kept.append(h)
-            h, inner = self.step(inputs[t], h)
-            states.append((h, inner))
-        flat, goal = np.concatenate([x[0] for x in states]), targets.ravel()
+            np.copyto(before[t], h)
+            np.copyto(before[t], 0, where=starts[t])
+            gate = _sigmoid(given[t, :, : 2 * n] + before[t] @ u)
+            new[t] = np.tanh(given[t, :, 2 * n :] + (gate[:, n:] * before[t]) @ un)
+            gates[t] = gate
+            after[t] = h = before[t] + gate[:, :n] * (new[t] - before[t])
+        flat, goal = after.reshape(-1, n), targets.ravel()
         cls, m = np.minimum(goal // s.words, s.classes), len(goal)
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("x",)}
-        lc = _log_softmax(flat @ p["wc"] + p["bc"])
-        total = lc[np.arange(m), cls].sum()
-        d = np.exp(lc)
+        grad = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+        d = _log_softmax(flat @ p["wc"] + p["bc"])
+        total = d[np.arange(m), cls].sum()
+        np.exp(d, out=d)
         d[np.arange(m), cls] -= 1
         grad["wc"], grad["bc"] = flat.T @ d, d.sum(0)
         dh = d @ p["wc"].T
         order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(s.classes + 1))
+        cut = np.searchsorted(cls[order], np.arange(s.classes + 1)).tolist()
         order = order[: cut[-1]]  # by class, without other words
-        by, own, of = flat[order], goal[order] - cls[order] * s.words, cls[order]
-        some = np.flatnonzero(np.diff(cut)).tolist()
+        by, of = flat[order], cls[order]
+        own = goal[order] - of * s.words
+        some = [c for c in range(s.classes) if cut[c + 1] > cut[c]]
         d = p["bw"][of]
         for c in some:
             d[cut[c] : cut[c + 1]] += by[cut[c] : cut[c + 1]] @ p["ww"][c]
@@ -143,36 +152,44 @@ class Network:
         down = np.empty_like(by)
         for c in some:
             at = slice(cut[c], cut[c + 1])
-            grad["ww"][c], grad["bw"][c] = by[at].T @ d[at], d[at].sum(0)
-            down[at] = d[at] @ p["ww"][c].T
+            np.matmul(by[at].T, d[at], out=grad["ww"][c])
+            np.matmul(d[at], p["ww"][c].T, out=down[at])
+        if some:
+            grad["bw"][some] = np.add.reduceat(d, [cut[c] for c in some], axis=0)
         dh[order] += down
         dh = dh.reshape(steps, -1, n)
-        back, gx = np.zeros_like(h), np.empty((steps, h.shape[0], 3 * n), np.float32)
+        # what each step's gradient is multiplied with depends on the forward pass alone, so it is made for the window at once
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        to_new, to_z, to_r, left = z * (1 - new * new), (new - before) * z * (1 - z), before * r * (1 - r), 1 - z
+        back, gx = np.zeros_like(h), np.empty((steps, streams, 3 * n), given.dtype)
+        ut, unt = u.T.copy(), un.T.copy()
         for t in range(steps - 1, -1, -1):
-            before, (_, (z, r, rh, new)) = kept[t], states[t]
             g = dh[t] + back
-            dn = g * z * (1 - new * new)
-            dz = g * (new - before) * z * (1 - z)
-            drh = dn @ p["u"][:, 2 * n :].T
-            dr = drh * before * r * (1 - r)
-            gates = np.concatenate((dz, dr), 1)
-            grad["u"][:, : 2 * n] += before.T @ gates
-            grad["u"][:, 2 * n :] += rh.T @ dn
-            gx[t] = np.concatenate((gates, dn), 1)
-            back = g * (1 - z) + drh * r + gates @ p["u"][:, : 2 * n].T
-            back = np.where((inputs[t] == 0)[:, None], np.float32(0), back)
+            dn = np.multiply(g, to_new[t], out=gx[t, :, 2 * n :])
+            drh = dn @ unt
+            np.multiply(g, to_z[t], out=gx[t, :, :n])
+            np.multiply(drh, to_r[t], out=gx[t, :, n : 2 * n])
+            back = g * left[t] + drh * r[t] + gx[t, :, : 2 * n] @ ut
+            np.copyto(back, 0, where=starts[t])
         gx = gx.reshape(-1, 3 * n)
+        grad["u"] = np.concatenate((before.reshape(-1, n).T @ gx[:, : 2 * n], (r * before).reshape(-1, n).T @ gx[:, 2 * n :]), 1)
         grad["b"] = gx.sum(0)
-        scale = np.float32(1 / inputs.shape[1])
+        scale = np.float32(1 / streams)
         for k, v in grad.items():
-            v = np.clip(v * scale, -1, 1)
-            self.g[k] += v * v
-            p[k] -= s.rate * v / np.sqrt(self.g[k])
+            np.multiply(v, scale, out=v)
+            np.clip(v, -1, 1, out=v)
+            step = v * v
+            self.g[k] += step
+            np.sqrt(self.g[k], out=step)
+            np.divide(v, step, out=step)
+            step *= s.rate
+            p[k] -= step
         order = np.argsort(inputs.ravel(), kind="stable")
         rows, first = np.unique(inputs.ravel()[order], return_index=True)
         gs = np.clip(np.add.reduceat(gx[order], first, axis=0) * scale, -1, 1)
-        self.g["x"][rows] += gs * gs
-        p["x"][rows] -= s.rate * gs / np.sqrt(self.g["x"][rows])
+        sums = self.g["x"][rows] + gs * gs
+        self.g["x"][rows] = sums
+        p["x"][rows] -= s.rate * gs / np.sqrt(sums)
         return h, float(total / m)
 
 
@@ -393,7 +410,7 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             rest_c = np.bincount(doc[other], log_c[other], m)
             facts = np.stack([logs, all_c, rest_c, np.bincount(doc[other], minlength=m), n + 1, np.bincount(doc[found], minlength=m) + (n_docs > 0)])
             nulls = np.array([i is None for i in keys])
-            out = [(0, 1, chunk, np.array([0 if i is None else i for i in keys], np.int64).tobytes(), nulls.tobytes(), facts.tobytes(), b"")]
+            out = [(crc32(chunk.encode()) % buckets, 1, chunk, np.array([0 if i is None else i for i in keys], np.int64).tobytes(), nulls.tobytes(), facts.tobytes(), b"")]
             far = np.flatnonzero(~found)
             if len(far):
                 b = (h[far] >> np.uint64(32)) % np.uint64(buckets)
@@ -473,20 +490,28 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of the most frequent words, at most ``most``, by falling count.
 
-    A histogram of the counts' logarithms (64 steps to a doubling) gives the step from which up no more than ``most`` words lie, so
-    only those reach the driver.
+    A histogram of the counts' logarithms (64 steps to a doubling) gives the step from which up no more than ``most`` words lie.  The
+    step below gives the places left, by falling hash: a second histogram, over the hash's upper bits, bounds what reaches the driver.
     """
     step = F.floor(F.log2("n") * 64).cast("int")
     steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["s"])  # at most 64 * 63 rows
-    total, least = 0, None
+    total, wanted = 0, F.lit(False)
     for r in steps:
-        total += r["k"]
-        if total > most:
+        if total + r["k"] > most:
+            share = F.shiftrightunsigned("hash", 64 - 16)
+            parts = sorted(counts.filter(step == r["s"]).groupBy(share.alias("h")).agg(F.count("*").alias("k")).collect(), key=lambda p: -p["h"])  # at most 65,536 rows
+            room, least = most - total, None
+            for p in parts:
+                room -= p["k"]
+                if room < 0:
+                    break
+                least = p["h"]
+            if least is not None:
+                wanted = wanted | ((step == r["s"]) & (share >= least))
             break
-        least = r["s"]
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    top = counts.filter(step >= least).toArrow()
+        total += r["k"]
+        wanted = step >= r["s"]
+    top = counts.filter(wanted).toArrow()
     h, n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.int64)
     order = np.lexsort((h, -n))
     return h[order], n[order]

@@ -195,6 +195,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, grid: int = GRID, with_ids: bo
     """(doc_id, start, length, ids_crc32, doc_tokens, class, part, at[, ids]): the cuts of each row of docs.
 
     class 0 is a whole cut; ``at`` counts a class's pieces inside a part.  A null text counts as empty: one piece with the end id.
+    Bytes that are no UTF-8 become U+FFFD.
     """
     if vocabulary is None:
         vocabulary, ranks = vocabulary_files()
@@ -212,7 +213,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, grid: int = GRID, with_ids: bo
         for keys, texts in batches(rows):
             out = []
             for key, text in zip(keys, texts, strict=True):
-                ids = memoryview(tokens((text or b"").decode()) + end)
+                ids = memoryview(tokens((text or b"").decode(errors="replace")) + end)
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     size = min(length, n - start)
