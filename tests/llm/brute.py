@@ -46,6 +46,27 @@ def components(ids: list[int], prints: list[int], bits: int) -> dict[int, int]:
     return {i: root(i) for i in ids}
 
 
+def similar(texts: dict[int, str | None], shingle: int = 5, similarity: float = 0.8) -> dict[int, int]:
+    """Each document's smallest id reachable through links of this Jaccard similarity over word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+    parent = {i: i for i in texts}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= (similarity - 1e-9) * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in texts}
+
+
 def top_k(vectors: dict[int, list | None], queries: list[int], k: int, scale: int = 256) -> list[tuple[int, int, int, int]]:
     from math import floor, isfinite
 
