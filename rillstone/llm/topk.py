@@ -1,14 +1,18 @@
 """Exact top-k by inner product over norm-sorted blocks.
 
-Vectors become integers floor(scale * x).  Candidates are range-sorted by descending length and cut into blocks; queries
-are cut into blocks too.  A task holds one block of queries against one run of candidate blocks and walks it by descending
-length.  With q = (q1, q2) and x = (x1, x2) in an SVD-rotated basis whose first coordinates carry most of the candidates' energy,
+Vectors become integers floor(scale * x).  Candidates are range-sorted by descending length and cut into blocks, blocks into runs;
+queries are cut into blocks too.  With q = (q1, q2) and x = (x1, x2) in an SVD-rotated basis whose first coordinates carry most of
+the candidates' energy,
 
     q.x <= |q| |x|              drops whole blocks and all that follow,
     q.x <= q1.x1 + |q2| |x2|    drops single pairs after a partial sum,
 
 both against the query's current k-th score; survivors get the exact integer product.  Bounds carry a relative margin for
-rounding, so nothing that could enter the result is dropped.  The k-th score starts from the longest block.
+rounding, so nothing that could enter the result is dropped.
+
+Two phases.  All queries meet the run of the longest vectors first; the k-th score there is each query's floor.  Then the
+queries are sorted by floor / |q|, the length a vector needs to enter the result, and a block of queries goes to those other runs only
+whose longest vector has it.  A task walks one run: its blocks are held, the query blocks stream past them.
 """
 
 from __future__ import annotations
@@ -22,62 +26,66 @@ from pyspark.sql import functions as F
 from rillstone.llm.common import written
 
 _EXACT = float(1 << 53)
+_LOW = -(1 << 63)
 
 
 def _usable(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, dim, q array<long>) of usable rows: vector and id not null, not empty, all components finite."""
+    """(vec_id, dim, q array<long>) of usable rows: vector and id not null, not empty, all components finite.
+
+    A component whose floor(scale * x) is no 64-bit integer is an error.
+    """
     x = F.transform(F.col(f"`{vec_col}`"), lambda v: v.cast("double"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id is not null and x is not null and size(x) > 0")
     rows = rows.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    return rows.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("q"))
+    too_large = F.raise_error(F.lit(f"a component times {scale} exceeds 64 bits")).cast("long")
+    whole = F.transform("x", lambda v: F.when(F.abs(v * scale) < float(1 << 63), F.floor(v * scale).cast("long")).otherwise(too_large))
+    return rows.select("vec_id", F.size("x").alias("dim"), whole.alias("q"))
+
+
+def _norm(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(-1, dim)
 
 
-def _blocks(rows: DataFrame, size: int, groups: int, by_norm: bool) -> DataFrame:
-    """Blobs of at most ``size`` vectors of one width: (dim, part, block, ids, data, top double)."""
-    norm = F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    dealt = rows.withColumn("norm", F.sqrt(norm))
-    if by_norm:
-        dealt = dealt.repartitionByRange(groups, F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm"), "vec_id")
-    else:
-        dealt = dealt.repartition(groups, "vec_id").sortWithinPartitions("dim", "vec_id")
+_BLOB = "dim int, part int, block int, ids binary, floors binary, data binary, place double"
+
+
+def _blocks(rows: DataFrame, size: int, groups: int) -> DataFrame:
+    """Blobs of at most ``size`` rows(vec_id, dim, q, floor, place) of one width, by ascending place: the blob's is its first row's."""
+    dealt = rows.repartitionByRange(groups, "place", "vec_id").sortWithinPartitions("dim", "place", "vec_id")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        held, number = {}, 0
+        part, number, dim = TaskContext.get().partitionId(), 0, None
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def out(dim, ids, data, top):
-            nonlocal number
+        def out(n: int):
+            nonlocal number, held
+            ids, floors, places, data = (np.concatenate([h[k] for h in held]) for k in range(4))
+            held = [(ids[n:], floors[n:], places[n:], data[n:])] if len(ids) > n else []
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int32()), pa.array([number - 1], pa.int32()), pa.array([ids.tobytes()]), pa.array([data.tobytes()]), pa.array([float(top)])], ["dim", "part", "block", "ids", "data", "top"])
+            blobs = [pa.array([x[:n].tobytes()], pa.binary()) for x in (ids, floors, data)]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int32()), pa.array([number - 1], pa.int32()), *blobs, pa.array([float(places[0])])], ["dim", "part", "block", "ids", "floors", "data", "place"])
 
         for batch in batches:
-            ids, dims, norms = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            ids, dims, floors, places = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
             cuts = np.flatnonzero(np.concatenate(([True], dims[1:] != dims[:-1]))).tolist() + [len(dims)] if len(dims) else []
             for i, j in zip(cuts, cuts[1:]):
+                if held and dim != int(dims[i]):
+                    yield out(size)
                 dim = int(dims[i])
-                if held and held["dim"] != dim:
-                    yield out(dim=held["dim"], ids=held["ids"], data=held["data"], top=held["top"])
-                    held = {}
-                m = _matrix(batch.column(2).slice(i, j - i), dim)
-                if held:
-                    held["ids"], held["data"] = np.concatenate((held["ids"], ids[i:j])), np.concatenate((held["data"], m))
-                else:
-                    held = {"dim": dim, "ids": ids[i:j], "data": m, "top": norms[i]}
-                while held and len(held["ids"]) >= size:
-                    yield out(dim, held["ids"][:size], held["data"][:size], held["top"])
-                    rest, data = held["ids"][size:], held["data"][size:]
-                    held = {"dim": dim, "ids": rest, "data": data, "top": float(np.sqrt((data[0].astype(float) ** 2).sum()))} if len(rest) else {}
+                held.append((ids[i:j], floors[i:j], places[i:j], _matrix(batch.column(2).slice(i, j - i), dim)))
+                while sum(len(h[0]) for h in held) >= size:
+                    yield out(size)
         if held:
-            yield out(held["dim"], held["ids"], held["data"], held["top"])
+            yield out(size)
 
-    return dealt.select("vec_id", "dim", "q", "norm").mapInArrow(run, "dim int, part int, block int, ids binary, data binary, top double")
+    return dealt.select("vec_id", "dim", "q", "floor", "place").mapInArrow(run, _BLOB)
 
 
 def rotations(blocks: DataFrame) -> dict[int, np.ndarray]:
@@ -104,35 +112,45 @@ def rotations(blocks: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: through doubles where every partial sum stays under 2**53, else in int64."""
-    if len(a) and len(b) and float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < _EXACT:
+    """Exact integer inner products: in doubles where every partial sum stays under 2**53, in int64 under 2**63, else in Python's integers."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
+    if most < _EXACT:
         return np.rint(a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
+    if most < float(1 << 62):
+        return a @ b.T
+    whole = a.astype(object) @ b.T.astype(object)
+    if any(not _LOW <= x <= -_LOW - 1 for x in whole.ravel()):
+        raise OverflowError("an inner product exceeds 64 bits")
+    return whole.astype(np.int64)
 
 
 class _Best:
-    """The k best (score, smallest id) of each query so far; the same id with the same score counts once."""
+    """The k best (score, smallest id) of each query so far; the same id with the same score counts once.  floors: scores that others reach."""
 
-    def __init__(self, n: int, k: int) -> None:
-        self.k, self.scores, self.ids = k, np.full((n, k), np.iinfo(np.int64).min), np.full((n, k), np.iinfo(np.int64).max)
+    def __init__(self, n: int, k: int, floors: np.ndarray | None = None) -> None:
+        self.k, self.scores, self.ids = k, np.full((n, k), _LOW), np.full((n, k), np.iinfo(np.int64).max)
         self.filled = np.zeros((n, k), bool)
+        self.given = np.full(n, _LOW) if floors is None else floors
 
     def floor(self) -> np.ndarray:
-        return np.where(self.filled[:, -1], self.scores[:, -1].astype(float), -np.inf)
+        return np.maximum(np.where(self.filled[:, -1], self.scores[:, -1], _LOW), self.given)
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         on = self.filled[q]
         s, i = np.concatenate((self.scores[q][on], scores)), np.concatenate((self.ids[q][on], ids))
-        top = np.lexsort((i, -s))
+        top = np.lexsort((i, -s.astype(float))) if (s == _LOW).any() else np.lexsort((i, -s))
         top = top[np.concatenate(([True], (s[top[1:]] != s[top[:-1]]) | (i[top[1:]] != i[top[:-1]])))][: self.k]
         self.scores[q, : len(top)], self.ids[q, : len(top)], self.filled[q, : len(top)] = s[top], i[top], True
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tuple[float, np.ndarray, np.ndarray]], turn: np.ndarray, k: int, head: int | None = None) -> tuple[_Best, int]:
-    """(the k best of each query, number of exact products) over candidate blocks (top, ids, matrix) by descending top."""
+def search_block(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tuple[float, np.ndarray, np.ndarray]], turn: np.ndarray, k: int, head: int | None = None, floors: np.ndarray | None = None) -> tuple[_Best, int]:
+    """(the k best of each query, number of exact products) over candidate blocks (top, ids, matrix) by descending top.
+
+    floors: each query's k-th score elsewhere; what lies below needn't be found.
+    """
     dim = queries.shape[1]
     head = head or max(1, dim // 4)
-    best, verified = _Best(len(queries), k), 0
+    best, verified = _Best(len(queries), k, floors), 0
     q = queries.astype(float) @ turn
     q_norm, q_rest = np.sqrt((q * q).sum(1)), np.sqrt((q[:, head:] ** 2).sum(1))
     for top, ids, m in candidates:
@@ -153,7 +171,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tu
                 continue
             verified += int(ok.sum())
             scores = _products(queries[rows], m[need])
-            good = ok[:, need] & (ids[need][None, :] != query_ids[rows][:, None]) & (scores >= np.where(np.isneginf(floor[rows]), np.iinfo(np.int64).min, floor[rows]).astype(np.int64)[:, None])
+            good = ok[:, need] & (ids[need][None, :] != query_ids[rows][:, None]) & (scores >= floor[rows][:, None])
             for r in np.flatnonzero(good.any(1)):
                 at = np.flatnonzero(good[r])
                 if single and len(at) > 4 * k:
@@ -163,6 +181,44 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tu
     return best, verified
 
 
+def _met(queries: DataFrame, runs: DataFrame, turns, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query block in its run.  Both sides: to (the run's number), ids, floors, data, place, dim."""
+    columns = ["to", "kind", "dim", "ids", "floors", "data", "place"]
+    both = runs.withColumn("kind", F.lit(0)).select(*columns).union(queries.withColumn("kind", F.lit(1)).select(*columns))
+    dealt = both.repartition("to").sortWithinPartitions("to", "kind", "place")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                to, kind, dim, ids, floors, data, place = (batch.column(c)[i].as_py() for c in range(7))
+                if to != now:
+                    now, held = to, []
+                ids, m = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dim)
+                if kind == 0:
+                    held.append((-place, ids, m))
+                    continue
+                best, _ = search_block(m, ids, held, turns.value[dim], k, floors=np.frombuffer(floors, np.int64))
+                q, r = np.nonzero(best.filled)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.ids[q, r]), pa.array(best.scores[q, r])], ["query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _ranked(met: DataFrame) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.groupBy("query_id", "vec_id", "score").count().withColumn("rank", F.row_number().over(order))
+
+
+def runs_of(cands: DataFrame, run_blocks: int) -> DataFrame:
+    """(dim, part, run, top, first): the runs of candidate blocks, their longest vector, and whether they hold their width's longest."""
+    runs = cands.groupBy("dim", "part", F.floor(F.col("block") / run_blocks).cast("int").alias("run")).agg((-F.min("place")).alias("top"))
+    longest = runs.groupBy("dim").agg(F.max(F.struct("top", (-F.col("part")).alias("p"), (-F.col("run")).alias("r"))).alias("m"))
+    return runs.join(longest, "dim").select("dim", "part", "run", "top", ((F.col("part") == -F.col("m.p")) & (F.col("run") == -F.col("m.r"))).alias("first"))
+
+
 def top_k(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096, run_blocks: int = 8) -> DataFrame:
     """(query_id, rank int from 1, vec_id, score long): each query's k best other vectors, ties to the smaller vec_id.
 
@@ -170,41 +226,34 @@ def top_k(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "
     take no part; vectors meet only those of their own width.  Fewer than k others: all of them.  Rows that repeat a query's
     vec_id count as the query's own and are no candidates for it; repeated queries give their result once.
     Rows that repeat a vec_id with the same score take one rank (TOP_K_SQL gives each its own).  Columns
-    beside the two named aren't read.
+    beside the two named aren't read.  Components or scores beyond 64 bits are an error.
     """
     rows = written(_usable(df, id_col, vec_col, scale), "vectors")
     spark = df.sparkSession
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id", "dim", "q").count().drop("count")
-    cands = written(_blocks(rows, block, groups, True), "candidates")
+    normed = _norm(rows).withColumn("floor", F.lit(_LOW))
+    cands = written(_blocks(normed.withColumn("place", -F.col("norm")), block, groups), "candidates")
     turns = spark.sparkContext.broadcast(rotations(cands))
-    # queries and the longest block first: each query's floor, so that later blocks are pruned from their start
-    runs = cands.withColumn("run", F.floor((F.row_number().over(Window.partitionBy("dim", "part").orderBy("block")) - 1) / run_blocks).cast("int")).withColumn("kind", F.lit(1))
-    there = runs.select("dim", F.col("part").alias("to_part"), F.col("run").alias("to_run")).distinct()
-    queries = _blocks(asked, block // 4, max(1, groups // 4), False).withColumn("kind", F.lit(0))
-    sent = queries.withColumnsRenamed({"part": "q_part", "block": "q_block"})
-    left = sent.join(there, "dim")  # each block of the stated queries meets each run of candidate blocks
-    key = ["dim", "to_part", "to_run"]
-
-    def meet(key, table, other):
-        import pyarrow as pa
-
-        dim = key[0].as_py()
-        turn = turns.value[dim]
-        cs = sorted(((t, np.frombuffer(i, np.int64), np.frombuffer(d, np.int64).reshape(-1, dim)) for t, i, d in zip(*(other.column(n).to_pylist() for n in ("top", "ids", "data")), strict=True)), key=lambda c: -c[0])
-        out: list[list[np.ndarray]] = [[], [], []]
-        for i, d in zip(table.column("ids").to_pylist(), table.column("data").to_pylist(), strict=True):
-            ids, m = np.frombuffer(i, np.int64), np.frombuffer(d, np.int64).reshape(-1, dim)
-            best, _ = search_block(m, ids, cs, turn, k)
-            q, r = np.nonzero(best.filled)
-            for column, values in zip(out, (ids[q], best.ids[q, r], best.scores[q, r]), strict=True):
-                column.append(values)
-        merged = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, merged), strict=True)))
-
-    met = left.groupBy(*key).cogroup(runs.withColumnsRenamed({"part": "to_part", "run": "to_run"}).groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.groupBy("query_id", "vec_id", "score").count().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    runs = written(runs_of(cands, run_blocks), "runs")  # a row for each run_blocks * block vectors
+    asked = _norm(rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id", "dim", "q").count().drop("count")).withColumn("floor", F.lit(_LOW))
+    placed = cands.withColumn("run", F.floor(F.col("block") / run_blocks).cast("int")).join(runs, ["dim", "part", "run"])
+    # phase 1: each part of the queries gets the longest run
+    early = written(_blocks(asked.withColumn("place", F.xxhash64("vec_id").cast("double")), block // 4, max(1, groups // 4)), "queries")
+    parts = early.select("dim", F.col("part").alias("q_part")).distinct()
+    to = F.concat_ws("-", "dim", "q_part")
+    longest = placed.filter("first").join(parts, "dim").withColumn("to", to)
+    first = written(_met(early.withColumnRenamed("part", "q_part").withColumn("to", to), longest, turns, k), "first")
+    # phase 2: queries by the length they need go to the runs that have it
+    floors = _ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    known = asked.drop("floor").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(_LOW)))
+    needed = F.when((F.col("floor") > _LOW) & (F.col("norm") > 0), (F.col("floor").cast("double") - 1e-6) / (F.col("norm") * (1 + 1e-9))).otherwise(F.lit(float("-inf")))
+    late = _blocks(known.withColumn("place", needed), block // 4, groups)
+    others = runs.filter("not first").select(F.col("dim").alias("of"), F.col("part").alias("to_part"), F.col("run").alias("to_run"), "top")
+    to = F.concat_ws("-", "dim", "to_part", "to_run")
+    sent = late.join(others, (F.col("dim") == F.col("of")) & (F.col("top") * (1 + 1e-9) >= F.col("place"))).withColumn("to", to)
+    rest = placed.filter("not first").withColumnsRenamed({"part": "to_part", "run": "to_run"}).withColumn("to", to)
+    both = first.union(_met(sent, rest, turns, k))
+    return _ranked(both).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 #: DuckDB SQL of op8 over ``embeddings``.
