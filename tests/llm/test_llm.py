@@ -62,6 +62,22 @@ def test_word_hashes():
     assert len(common.word_hashes([])[0]) == 0
 
 
+def thue_morse(n: int, flip: int = 0) -> str:
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 2048, 8192])
+def test_long_words_of_equal_polynomial_differ(n):
+    h, _ = common.word_hashes([thue_morse(n).encode(), thue_morse(n, 1).encode(), thue_morse(n).encode()])
+    assert h[0] == h[2] != h[1]
+
+
+def test_windows_of_long_words_that_differ_stay(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(19)) + " " + thue_morse(2048, k)) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(substrings.removed(df), "n_removed") == {0: (0,), 1: (0,)}
+
+
 # ---------------------------------------------------------------- 1 chat
 
 
@@ -273,8 +289,75 @@ def test_near_duplicates(docs, nothing):
     assert got == {i: (f"{p:016x}", want[i]) for (i, _), p in zip(rows, prints, strict=True)}
     assert got[1000][1] == got[1001][1] == got[1002][1] == 1000
     assert simhash.near_duplicates(nothing).count() == 0
+
+
+def near_copies(seed=3, families=12, length=150):
+    """Families: a document, copies of it with a few words changed, copies of copies; between them strangers, one passage in all."""
+    r = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    passage = [r.choice(vocabulary) for _ in range(20)]
+    rows, i = {}, 0
+    for _ in range(families):
+        first = [*passage, *(r.choice(vocabulary) for _ in range(length))]
+        members = [first]
+        for _ in range(r.randrange(1, 8)):
+            w = list(r.choice(members))
+            for _ in range(r.randrange(0, 6)):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            members.append(w)
+        for w in members:
+            rows[i] = " ".join(w).title() if i % 3 == 0 else " ".join(w)
+            i += 1
+    return rows
+
+
+def test_keep_one(docs, nothing, spark):
+    want = set(brute.similar(dict(documents())).values())
     kept = simhash.keep_one(docs.union(docs))
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    assert simhash.keep_one(nothing).count() == 0
+    rows = near_copies()
+    want = brute.similar(rows)
+    assert len(set(want.values())) < len(rows) - 10
+    df = spark.createDataFrame([(i, t, f"k{i}", i, 0.5) for i, t in rows.items()] + [(None, rows[0], "n", 1, None), (None, None, "n", 2, None)], "doc_id long, text string, _kept_id string, kept long, score double")
+    for together in (64, 3):  # under 3 the families go through hubs
+        got = {r["doc_id"]: r["_kept_id"] for r in simhash.keep_one(df.repartition(4), together=together).collect() if r["doc_id"] is not None}
+        assert set(got) == set(want.values()) and all(v == f"k{i}" for i, v in got.items())
+    assert simhash.keep_one(df).filter("doc_id is null").count() == 2
+
+
+def test_prefixes_share_an_element():
+    r = random.Random(1)
+    for _ in range(300):
+        a = set(r.sample(range(60), r.randrange(1, 40)))
+        b = (a - set(r.sample(sorted(a), len(a) // 9))) | {r.randrange(60) for _ in range(r.randrange(4))}
+        if len(a & b) >= 0.8 * len(a | b):
+            assert set(sorted(a)[: simhash.prefix_length(len(a), 0.8)]) & set(sorted(b)[: simhash.prefix_length(len(b), 0.8)])
+
+
+def test_pivot_table_discards_and_loses_nothing():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 64, 400, np.uint64)
+    flips = np.array([sum(1 << int(k) for k in r.choice(64, r.integers(0, 9), replace=False)) for _ in base], np.uint64)
+    fps = np.concatenate((base, base ^ flips))
+    table = simhash.pivot_table(fps)
+    assert (table.sum(1) == np.bitwise_count(fps[:, None] ^ simhash.REFERENCES)).all()
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(800), np.arange(800)))
+    gone, distance = simhash.discarded(a, b, table, 3), np.bitwise_count(fps[a] ^ fps[b])
+    assert not (gone & (distance <= 3)).any() and gone[distance > 3].mean() > 0.99
+    at, key = simhash.cells(fps, 3, 6)
+    order = np.argsort(key, kind="stable")
+    x, y, n = simhash.cell_links(fps[at][order], key[order], 3, 6)
+    want = {(min(p, q), max(p, q)) for p, q in zip(fps[a].tolist(), fps[b].tolist(), strict=True) if p != q and (p ^ q).bit_count() <= 3}
+    assert {(min(p, q), max(p, q)) for p, q in zip(x.tolist(), y.tolist(), strict=True) if p != q} == want and n > 0
+    i, j, n = simhash.links(np.unique(fps), 3)
+    assert len(i) == len(want) and n > 0  # pairs of a base and its copy: each link is in the forest
+
+
+def test_near_duplicates_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, None), (2, "a b c"), (-(2**63), "x y z w")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 2), (None, None), (2, 2), (-(2**63), -(2**63))], key=repr)
 
 
 def test_links_of_many_near_fingerprints(spark):
@@ -344,6 +427,35 @@ def test_top_k_of_repeated_rows(spark):
     assert got == sorted(brute.top_k(vectors, [0, 10, 20, 30], 5))
 
 
+def test_top_k_of_large_components(spark):
+    vectors = {0: [2.0**40, 2.0**20], 1: [2.0**13, -(2.0**50) + 2.0**5], 2: [-(2.0**14), 1.0], 3: [3.0, 2.0**33 + 1]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, lambda i: i == 0).collect()
+    vectors = {0: [2.0**30, 1.0], 1: [2.0**14, 5.0], 2: [1.0, 2.0**44 + 2.0**-7], 3: [-(2.0**14), 2.0**44]}  # the products fit, their bound doesn't
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, lambda i: i == 0).collect())) == sorted(brute.top_k(vectors, [0], 5))
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e18]), (1, [1.0])], "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
+
+
+def test_short_runs_are_not_sent():
+    r = np.random.default_rng(9)
+    m = (r.standard_normal((2000, 8)) * np.geomspace(1000, 0.1, 2000)[:, None]).astype(np.int64)
+    norms = np.sqrt((m.astype(float) ** 2).sum(1))
+    order = np.argsort(-norms)
+    blocks = [(norms[order[a]], order[a : a + 100], m[order[a : a + 100]]) for a in range(0, 2000, 100)]
+    asked = np.arange(0, 2000, 100)
+    first, _ = topk.search_block(m[asked], asked, blocks[:4], np.eye(8), 5)
+    rest, verified = topk.search_block(m[asked], asked, blocks[4:], np.eye(8), 5, floors=first.floor())
+    assert verified < len(asked) * 1600 / 10
+    for q, i in enumerate(asked):
+        s = m @ m[i]
+        want = sorted((-s[j], j) for j in range(2000) if j != i)[:5]
+        both = sorted({(-a, b) for best in (first, rest) for a, b, on in zip(best.scores[q], best.ids[q], best.filled[q], strict=True) if on})[:5]
+        assert both == want
+
+
 def test_pruning_drops_pairs_but_no_result():
     r = np.random.default_rng(5)
     m = (r.standard_normal((3000, 16)) * np.geomspace(8, 0.1, 16) * 256).astype(np.int64)
@@ -470,8 +582,7 @@ def test_pipeline(spark):
     assert set(before) - set(kept) <= toxic  # clean documents stay
     cut = {r["doc_id"]: r["text"] for r in seen["line_dedup"].collect()}
     assert cut == brute.line_dedup(sorted(kept.items()), lines.chunk_bounds)
-    ids = sorted(cut)
-    want = set(brute.components(ids, [brute.simhash(cut[i]) for i in ids], 3).values())
+    want = set(brute.similar(cut).values())
     near = {r["doc_id"]: r["text"] for r in seen["near_dedup"].collect()}
     assert set(near) == want and all(near[i] == cut[i] for i in near)
     mixed = [r["doc_id"] for r in seen["mixing"].collect()]
