@@ -111,14 +111,17 @@ def rotations(blocks: DataFrame) -> dict[int, np.ndarray]:
     return found
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles where every partial sum stays under 2**53, in int64 under 2**63, else in Python's integers."""
+def _products(a: np.ndarray, b: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Exact integer inner products: in doubles where every partial sum stays under 2**53, in int64 under 2**62, else in Python's integers.
+
+    Pairs that are not ``needed`` may have any value.
+    """
     most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
     if most < _EXACT:
         return np.rint(a.astype(float) @ b.T.astype(float)).astype(np.int64)
     if most < float(1 << 62):
         return a @ b.T
-    whole = a.astype(object) @ b.T.astype(object)
+    whole = np.where(needed, a.astype(object) @ b.T.astype(object), 0)
     if any(not _LOW <= x <= -_LOW - 1 for x in whole.ravel()):
         raise OverflowError("an inner product exceeds 64 bits")
     return whole.astype(np.int64)
@@ -170,8 +173,9 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tu
             if not len(need):
                 continue
             verified += int(ok.sum())
-            scores = _products(queries[rows], m[need])
-            good = ok[:, need] & (ids[need][None, :] != query_ids[rows][:, None]) & (scores >= floor[rows][:, None])
+            good = ok[:, need] & (ids[need][None, :] != query_ids[rows][:, None])
+            scores = _products(queries[rows], m[need], good)
+            good &= scores >= floor[rows][:, None]
             for r in np.flatnonzero(good.any(1)):
                 at = np.flatnonzero(good[r])
                 if single and len(at) > 4 * k:
