@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillstone.llm.common import about, batches, id_crc32, mixed, word_hashes
 
@@ -93,7 +94,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=Non
     """A bounded, reproducible sample of labelled texts: about ``most_rows`` ids and at most ``most_bytes`` bytes.
 
     Labels other than 0 and 1 and null ids are left out; ids labelled both ways count as toxic.  The order is by a hash of
-    the id, so it depends on neither partitions nor source; a text that doesn't fit any more is skipped.
+    the id, so it depends on neither partitions nor source; a text that doesn't fit any more is skipped.  Of rows that repeat an
+    id one counts, chosen by a hash of the text.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_toxic in (0, 1) and _id is not null")
     if may_learn is not None:
@@ -102,21 +104,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=Non
     chosen = about(marks, "_id", s.most_rows, marks.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     # chosen has about most_rows ids
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_toxic", F.col("_text").cast("binary").alias("t"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size"))
-    ordered = rows.select("_id", "_toxic", "size", F.xxhash64("_id", "t").alias("mark"))
-    sizes = ordered.collect()  # about most_rows rows of four numbers
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_toxic", F.col("_text").cast("binary").alias("t"), F.xxhash64("_id", F.col("_text").cast("binary")).alias("mark"))
+    size = F.coalesce(F.octet_length("t"), F.lit(0))
+    sizes = rows.groupBy("_id").agg(F.min(F.struct("mark", size.alias("size"))).alias("m")).select("_id", "m.*").collect()  # one row for each chosen id
     sizes.sort(key=lambda r: (r["mark"], r["_id"]))
-    total, fit = 0, set()
+    total, fit = 0, []
     for r in sizes:
-        if (r["_id"], r["mark"]) in fit or total + r["size"] <= s.most_bytes:
+        if total + r["size"] <= s.most_bytes:
             total += r["size"]
-            fit.add((r["_id"], r["mark"]))
+            fit.append((r["_id"], r["mark"]))
     if not fit:
         return []
-    marked = rows.withColumn("mark", F.xxhash64("_id", "t"))
-    if len(fit) < len({(r["_id"], r["mark"]) for r in sizes}):
-        marked = marked.join(F.broadcast(docs.sparkSession.createDataFrame(sorted(fit), "_id long, mark long")), ["_id", "mark"], "left_semi")
-    got = marked.select("_id", "_toxic", "t").collect()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(fit, "_id long, mark long"))  # about most_rows ids
+    got = rows.join(wanted, ["_id", "mark"], "left_semi").groupBy("_id", "_toxic").agg(F.min("t").alias("t")).collect()
     got.sort(key=lambda r: (hash_order(r["_id"]), r["t"] or b""))
     return [(None if r["t"] is None else bytes(r["t"]), r["_toxic"]) for r in got]
 
@@ -134,28 +134,38 @@ def scored(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), may_lea
     return _scored(docs, training_rows(docs, labels, s, may_learn), s)
 
 
+def _probabilities(docs: DataFrame, rows: list[tuple[bytes | None, int]], s: Settings):
+    """A function from a list of texts to their probabilities, to run in tasks."""
+    held = docs.sparkSession.sparkContext.broadcast(train(rows, s))
+    bits = s.bits
+
+    def of(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
+        scores: list[float] = []
+        for start in range(0, len(texts), 64):
+            scores += [float(table[features(h, bits)].sum(dtype=np.float64)) for h in _documents(texts[start : start + 64])]
+        return 1 / (1 + np.exp(-np.clip(np.array(scores, np.float64) + held.value[2], -35, 35)))
+
+    def table() -> np.ndarray:
+        out = np.zeros(1 << bits, np.float32)
+        out[held.value[0]] = held.value[1]
+        return out
+
+    return of, table
+
+
 def _scored(docs: DataFrame, rows: list[tuple[bytes | None, int]], s: Settings) -> DataFrame:
-    at, w, bias = train(rows, s)
-    held = docs.sparkSession.sparkContext.broadcast((at, w, bias, s.bits))
+    of, table = _probabilities(docs, rows, s)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
-    from pyspark.sql import types as T
-
     out_schema = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     text_at = names.index("text")
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        at, w, bias, bits = held.value
-        table = np.zeros(1 << bits, np.float32)
-        table[at] = w
+        weights = table()
         for batch in rows:
-            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-            scores: list[float] = []
-            for start in range(0, len(texts), 64):
-                scores += [float(table[features(h, bits)].sum(dtype=np.float64)) for h in _documents(texts[start : start + 64])]
-            p = 1 / (1 + np.exp(-np.clip(np.array(scores, np.float64) + bias, -35, 35)))
+            p = of(batch.column(text_at).cast(pa.binary()).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= s.threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, out_schema)
@@ -168,10 +178,19 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Rows of docs that the classifier does not reject, with docs' columns; all, if there is nothing to learn from."""
-    names = docs.columns
+    """Rows of docs that the classifier does not reject, with docs' own columns and values; all, if there is nothing to learn from."""
     typed = docs.withColumn("text", F.col("text").cast("string"))
     rows = training_rows(typed, labels, s)
     if not rows:
         return typed
-    return _scored(typed, rows, s).filter("predicted = 0").select(*[F.col(f"`{c}`") for c in names])
+    of, table = _probabilities(docs, rows, s)
+    text_at = docs.columns.index("text")
+
+    def run(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        weights = table()
+        for batch in rows:
+            yield batch.filter(pa.array(of(batch.column(text_at).cast(pa.binary()).to_pylist(), weights) < s.threshold))
+
+    return typed.mapInArrow(run, typed.schema)
