@@ -117,8 +117,10 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
 
 def _cut(docs: DataFrame, report: bool, window: int, divisor: int, buckets: int | None) -> DataFrame:
     names = docs.columns
-    found = repeated_chunks(docs, window, divisor, buckets).groupBy("doc_id").agg(F.collect_list("ends").alias("_ends")).withColumnRenamed("doc_id", "_key")
-    joined = docs.withColumn("_doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))).join(found, F.col("_doc_key") == F.col("_key"), "left").select(*[F.col(f"`{c}`") for c in names], "_ends")
+    found = repeated_chunks(docs, window, divisor, buckets).groupBy("doc_id").agg(F.collect_list("ends").alias("ends"))
+    # docs' columns travel as one value, so their names can't clash; the rows below are read by place
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = own.join(found, own["key"] == found["doc_id"], "left").select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(names)], found["ends"])
     fields = [T.StructField(c.name, T.StringType() if c.name == "text" else c.dataType) for c in docs.schema.fields]
     counts = [T.StructField(n, T.LongType()) for n in ("n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks")] if report else []
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
@@ -142,11 +144,11 @@ def _cut(docs: DataFrame, report: bool, window: int, divisor: int, buckets: int
                     texts[k] = b"\n".join(x for a, b in chunks if b not in gone for x in lines[a:b])
                     changed.append(k)
             columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            columns[at] = pa.array(texts, pa.binary()).view(pa.string())
             if length is not None and changed:
                 old = columns[length].to_pylist()
                 for k in changed:
-                    old[k] = len(texts[k].decode())
+                    old[k] = len(texts[k].decode(errors="replace"))
                 columns[length] = pa.array(old, columns[length].type)
             extra = [pa.array(x, pa.int64()) for x in (zip(*totals, strict=True) if totals else [()] * 4)] if report else []
             yield pa.RecordBatch.from_arrays([*columns, *extra], [*names, *(c.name for c in counts)])
@@ -158,7 +160,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     """docs with repeated chunks of lines cut from text; every row stays, with docs' columns.
 
     A null text stays null; a text whose chunks all go becomes empty.  n_chars, where docs have it as a number, follows
-    the new text.
+    the new text.  A null doc_id counts as the smallest; bytes that are no UTF-8 stay as they are.
     """
     return _cut(docs, False, window, divisor, buckets)
 
