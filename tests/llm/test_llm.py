@@ -406,6 +406,37 @@ def test_line_dedup(docs, nothing, spark):
     assert report[1] == (0,) and report[2][0] >= 20  # boundaries fall into step after the inserted line
 
 
+def test_chunk_bounds_by_the_definition():
+    """A chunk ends after line i if the mixed sum of its mixed hash and the mixed next-lower one's is 0 modulo 3."""
+    import xxhash
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    for _, t in documents():
+        own = (t or "").encode().split(b"\n")
+        h = [xxhash.xxh64_intdigest(x) for x in own]
+        ends = [i + 1 for i in range(len(own)) if i and mix((mix((h[i] + 1) % 2**64) + mix((h[i - 1] + 2) % 2**64)) % 2**64) % 3 == 0]
+        ends = sorted({*ends, len(own)})
+        assert lines.chunk_bounds(own) == list(zip([0, *ends[:-1]], ends))
+
+
+def test_line_dedup_keeps_columns_rows_and_odd_bytes(spark):
+    r = random.Random(12)
+    shared = "\n".join(f"line {r.random()}" for _ in range(30))
+    rows = [(1, shared, "a", 1, 2.5), (2, "x\n" + shared, "b", 2, None), (2, "x\n" + shared, "b", 2, None), (None, shared, None, 3, 0.0), (3, "é" * 400_000 + "\n" + shared, "c", 4, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _ends int, _doc_key double").withColumn("n_chars", F.length("text"))
+    out = lines.without_repeats(df, buckets=2)
+    got = sorted((r["_ends"], r["_key"], r["_doc_key"], r["n_chars"] == len(r["text"])) for r in out.collect())
+    assert out.columns == df.columns and [g[0] for g in got] == [1, 2, 2, 3, 4] and all(g[3] for g in got) and got[0][1:3] == ("a", 2.5)
+    texts = {r["_ends"]: r["text"] for r in out.collect()}
+    assert texts[3] == shared and len(texts[1]) < len(shared) / 2  # a null id counts as the smallest
+    odd = df.withColumn("text", F.decode(F.encode("text", "utf-8"), "utf-8")).union(df.select(F.lit(9).cast("long"), F.expr("cast(X'ff0a41' as string)"), "_key", "_ends", "_doc_key", "n_chars").limit(1))
+    assert lines.without_repeats(odd).count() == 6 and packing.packed(odd.select("doc_id", "text")).count() > 0
+
+
 # ---------------------------------------------------------------- 8 top-k
 
 
@@ -441,7 +472,7 @@ def test_top_k_of_large_components(spark):
 
 def test_short_runs_are_not_sent():
     r = np.random.default_rng(9)
-    m = (r.standard_normal((2000, 8)) * np.geomspace(1000, 0.1, 2000)[:, None]).astype(np.int64)
+    m = (r.standard_normal((2000, 8)) * np.geomspace(100_000, 100, 2000)[:, None]).astype(np.int64)
     norms = np.sqrt((m.astype(float) ** 2).sum(1))
     order = np.argsort(-norms)
     blocks = [(norms[order[a]], order[a : a + 100], m[order[a : a + 100]]) for a in range(0, 2000, 100)]
@@ -538,8 +569,12 @@ def test_toxicity_finds_planted_words(spark):
     hits = [got[i][2] for i in held if i % 5 == 0]
     assert sum(hits) / len(hits) > 0.9 and sum(got[i][2] for i in held if i % 5) <= 0.01 * len(held)
     assert 0 <= got[5000][1] == got[5001][1] <= 1
-    kept = toxicity.without_toxic(docs, labels)
-    assert kept.columns == docs.columns and kept.count() < docs.count()
+    own = docs.withColumn("predicted", F.col("doc_id") * 2)
+    kept = toxicity.without_toxic(own, labels)
+    left = {r["doc_id"]: (r["score"], r["predicted"]) for r in kept.collect()}
+    assert kept.schema == own.schema and 0 < len(left) < docs.count() and all(v == ("clash", 2 * i) for i, v in left.items())
+    again = toxicity.training_rows(docs.union(docs), labels, toxicity.Settings())
+    assert again == toxicity.training_rows(docs, labels, toxicity.Settings())  # an id that rows repeat teaches once
     assert toxicity.held_out_scores(docs.limit(0), labels).count() == 0
     assert toxicity.held_out_scores(docs, labels.limit(0)).count() == docs.count()
 
