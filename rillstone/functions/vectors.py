@@ -27,8 +27,15 @@ def _sum_of(column: str, query: list[float] | None, width: int) -> Column:
     return F.aggregate(F.zip_with(v, other, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
 
 
+def _finite(score: Column) -> Column:
+    """The score as a float; one that a float can't hold is an error."""
+    small = score.cast("float")
+    fine = ~F.isnan(small) & (F.abs(small) < F.lit(float("inf")))
+    return F.when(fine, small).otherwise(F.raise_error(F.lit("a score is no finite float")).cast("float"))
+
+
 def dot(column: str, query: list[float]) -> Column:
-    return _sum_of(column, query, len(query)).cast("float")
+    return _finite(_sum_of(column, query, len(query)))
 
 
 def cosine(column: str, query: list[float]) -> Column:
@@ -37,11 +44,30 @@ def cosine(column: str, query: list[float]) -> Column:
     for x in query:
         size += float(x) * float(x)
     below = _sum_of(column, None, len(query)) * F.lit(size)
-    return F.when(below > 0, _sum_of(column, query, len(query)) / F.sqrt(below)).otherwise(F.lit(0.0)).cast("float")
+    return _finite(F.when(below > 0, _sum_of(column, query, len(query)) / F.sqrt(below)).otherwise(F.lit(0.0)))
+
+
+def _sum_f32(column: str, other: Column) -> Column:
+    products = F.zip_with(F.col(column), other, lambda a, b: (a.cast("float") * b.cast("float")).cast("float"))
+    return F.aggregate(products, F.lit(0.0).cast("float"), lambda a, x: (a + x).cast("float"))
+
+
+def dot_f32(column: str, query: list[float]) -> Column:
+    """The first generation's dot: floats added left to right."""
+    return _sum_f32(column, F.array(*[F.lit(float(x)).cast("float") for x in query]))
+
+
+def cosine_f32(column: str, query: list[float]) -> Column:
+    q = F.array(*[F.lit(float(x)).cast("float") for x in query])
+    own = F.aggregate(q, F.lit(0.0).cast("float"), lambda a, x: (a + (x * x).cast("float")).cast("float"))
+    below = F.sqrt((_sum_f32(column, F.col(column)) * own).cast("float")).cast("float")
+    return F.when(below > 0, (_sum_f32(column, q) / below).cast("float")).otherwise(F.lit(0.0).cast("float"))
 
 
 def is_candidate(column: str, width: int) -> Column:
-    return F.col(column).isNotNull() & (F.size(column) == width)
+    """A vector of this width whose components are all finite."""
+    odd = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.col(column).isNotNull() & (F.size(column) == width) & ~odd
 
 
 def parsed_vector(text: Column) -> Column:

@@ -26,6 +26,11 @@ def exact_top_k(rows: DataFrame, vector: str, query: list[float], k: int, tie: l
     return rows.filter(is_candidate(vector, len(query))).withColumn("score", METRICS[metric](vector, query)).orderBy(F.desc("score"), *tie).limit(k)
 
 
+def search_counts(rows: DataFrame, vector: str, width: int) -> DataFrame:
+    """(scanned, candidates): rows a search reads, and those of them that it scores."""
+    return rows.agg(F.count("*").alias("scanned"), F.count_if(is_candidate(vector, width)).alias("candidates"))
+
+
 def accelerated_top_k(rows: DataFrame, vector: str, key: str, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
     """(key, score) as ``exact_top_k`` with ties by key, scored as matrices of Arrow batches; k rows leave each batch.
 
@@ -44,11 +49,13 @@ def accelerated_top_k(rows: DataFrame, vector: str, key: str, query: list[float]
         q = np.array(query, np.float64)
         for b in batches:
             m = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
-            s = m @ q
+            s = m @ q  # candidates are finite and without nulls
             if metric == "cosine":
                 below = (m * m).sum(1) * (q @ q)
                 s = np.where(below > 0, s / np.sqrt(np.where(below > 0, below, 1)), 0.0)
             keys, s = b.column(0).to_numpy(zero_copy_only=False), s.astype(np.float32)
+            if not np.isfinite(s).all():
+                raise ValueError("a score is no finite float")
             top = np.lexsort((keys, -s))[:k]
             yield pa.RecordBatch.from_arrays([pa.array(keys[top]), pa.array(s[top])], ["key", "score"])
 

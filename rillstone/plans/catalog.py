@@ -1,7 +1,9 @@
 """Catalogue of the record-stream queries and their DuckDB SQL.
 
 A change log is derived from ``events``: one identity for each user, shard = user_id % 16, sequence by event_id inside the shard,
-batches of three.  The derivation numbers a shard in one task; a store keeps the sequence it assigned at commit instead.
+batches of three.  It is written once for each application and folder, partitioned by shard and sorted by identity, as a
+store keeps it; the queries read it from there, so their filters reach the scan.  Numbering works in two levels (places inside a range of
+event ids, ranges inside a shard), so no task holds a shard.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions import keys, payload, placement
+from rillstone.functions import codec, keys, payload, placement, synthetic, vectors
 from rillstone.operators import changes, records, surfaces, vector_search, verify, workflow
-from rillstone.sources import jsonl
+from rillstone.sources import jsonl, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,14 +39,34 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_logs: dict[tuple[str, str], DataFrame] = {}
+
+
 def log(spark: SparkSession, d: str) -> DataFrame:
+    """The change log of a folder's events."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _logs:
+        _logs[at] = shared.table(_numbered(spark, d).repartition("shard", F.floor(F.col("user_id") / 4096)).sortWithinPartitions("shard", "user_id", "seq"), "log", "shard")
+    return _logs[at]
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     e = table(spark, d, "events").withColumn("shard", (F.col("user_id") % 16).cast("int"))
-    e = e.withColumn("seq", F.row_number().over(Window.partitionBy("shard").orderBy("event_id")).cast("long"))
+    e = shared.table(e.repartitionByRange(ranges, "event_id").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = e.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("event_id"))
+    # sizes has a row for each shard and range
+    e = e.withColumn("place", place).join(sizes.withColumn("before", before), ["shard", "part"]).withColumn("seq", (F.col("before") + F.col("place")).cast("long"))
     kind = F.col("event_type")
     op = F.when(kind == "error", "delete").when(kind == "purchase", "publish").when(kind == "signup", "append").otherwise("put")
     state = F.when(kind == "error", "deleted").when(kind == "purchase", "published").otherwise("pending")
     ts = F.unix_millis(F.col("ts").cast("timestamp"))
-    return e.select("event_id", "user_id", "event_type", "value", "shard", "seq", (F.col("seq") - (F.col("seq") - 1) % 3).alias("batch_id"), op.alias("op"), state.alias("state"), (kind == "error").alias("tombstone"), ts.alias("ts_ms"), (ts + HOUR * (F.col("event_id") % 48)).alias("expires_ms"))
+    return e.select(
+        "event_id", "user_id", "event_type", "value", "seq", (F.col("seq") - (F.col("seq") - 1) % 3).alias("batch_id"), op.alias("op"), state.alias("state"),
+        (kind == "error").alias("tombstone"), ts.alias("ts_ms"), (ts + HOUR * (F.col("event_id") % 48)).alias("expires_ms"), "shard",
+    )
 
 
 LOG = f"""with log as (
@@ -98,9 +120,51 @@ def vector_topk_multi(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long"), "vec_id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
-@query("select count(*) as scanned, count(*) filter (len(embedding) = 64) as candidates from embeddings")
+def _spoilt(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors, of every seven one with a NaN, one with a null, one too short and one missing."""
+    v, k = F.col("embedding"), F.col("vec_id") % 7
+    odd = lambda x: F.concat(F.slice(v, 1, 63), F.array(x.cast("float")))
+    bad = F.when(k == 1, odd(F.lit(float("nan")))).when(k == 2, odd(F.lit(None))).when(k == 3, F.slice(v, 1, 63)).when(k == 4, F.lit(None)).otherwise(v)
+    return table(spark, d, "embeddings").select("vec_id", bad.alias("embedding"))
+
+
+@query("select count(*) as scanned, count(*) filter (vec_id % 7 in (0, 5, 6)) as candidates from embeddings")
 def vector_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").agg(F.count("*").alias("scanned"), F.count_if(F.size("embedding") == 64).alias("candidates"))
+    return vector_search.search_counts(_spoilt(spark, d), "embedding", 64)
+
+
+@query(f"""with s as (select v.vec_id, {_SCORE["cosine"]} as score from embeddings v, (select embedding from embeddings where vec_id = 0) q where v.vec_id % 7 in (0, 5, 6))
+select vec_id, round(score::double, 6) as score from s order by score desc, vec_id limit 10""")
+def vector_topk_spoilt(spark: SparkSession, d: str) -> DataFrame:
+    q = _query_vectors(spark, d, 1)[0]
+    top = vector_search.exact_top_k(_spoilt(spark, d), "embedding", q, 10, [F.col("vec_id")])
+    return top.select("vec_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query(f"""with s as (select v.vec_id, {_SCORE["cosine"]} as score from embeddings v, (select embedding from embeddings where vec_id = 0) q)
+select vec_id, round(score::double, 6) as score from s order by score desc, vec_id limit 10""")
+def vector_topk_accelerated(spark: SparkSession, d: str) -> DataFrame:
+    found = vector_search.accelerated_top_k(table(spark, d, "embeddings"), "embedding", "vec_id", _query_vectors(spark, d, 1)[0], 10)
+    return found.select("vec_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query("""with p as (select v.vec_id, list_transform(list_zip(v.embedding::float[], q.embedding::float[]), lambda z: (z[1] * z[2])::float) as x from embeddings v, (select embedding from embeddings where vec_id = 0) q)
+select vec_id, round(list_reduce(x, lambda a, b: (a + b)::float)::double, 4) as score from p""")
+def vector_dot_f32(spark: SparkSession, d: str) -> DataFrame:
+    q = _query_vectors(spark, d, 1)[0]
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.dot_f32("embedding", q).cast("double"), 4).alias("score"))
+
+
+@query("""select i as row, list_transform(range(8), lambda c: (((i * 1664525 + c * 1013904223 + 1013904223) % 10000)::float / 10000)::float)::double[] as vector from range(200) t(i)""")
+def synthetic_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(200).select(F.col("id").alias("row"), synthetic.vector(F.col("id"), 8).cast("array<double>").alias("vector"))
+
+
+@query("select doc_id, octet_length(encode(text)) as size, sha256(text) as sha from documents")
+def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text through the adaptive compression and back."""
+    back = codec.decoded(codec.encoded(table(spark, d, "documents").filter("text is not null"), "doc_id", "text"))
+    return back.select(F.col("key").cast("long").alias("doc_id"), F.octet_length("data").alias("size"), F.sha2("data", 256).alias("sha"))
 
 
 # ---------------------------------------------------------------- current state and scans
@@ -118,7 +182,7 @@ def time_travel(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LOG + " select user_id, seq, event_id, op from log where user_id = 7 and seq = (select max(seq) from log where user_id = 7)")
 def get_version(spark: SparkSession, d: str) -> DataFrame:
-    mine = log(spark, d).filter("user_id = 7")
+    mine = log(spark, d).filter("shard = 7 and user_id = 7")
     return records.heads(mine, KEY, "seq").select("user_id", "seq", "event_id", "op")
 
 
@@ -355,24 +419,24 @@ def retention_body(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", payload.body_kind(mode, F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.octet_length("text"), 4096).alias("body"))
 
 
-def _export(spark: SparkSession, d: str) -> DataFrame:
-    def part(name: str, key: str, first: int) -> DataFrame:
-        t = table(spark, d, name)
-        n = t.count()
-        rows = t.select((F.row_number().over(Window.orderBy(key)) + first).cast("long").alias("n"), F.to_json(F.struct(F.lit("row").alias("type"), F.concat(F.lit("(0,"), F.col(key).cast("string"), F.lit(")")).alias("ctid"), F.lit("16384").alias("tableoid"), F.struct("*").alias("row"))).alias("line"))
-        ends = spark.createDataFrame([(first, f'{{"type":"table","schema":"public","table":"{name}","primary_key":["{key}"],"estimated_rows":{n}}}'), (first + n + 1, f'{{"type":"end","rows":{n}}}')], "n long, line string")
-        return ends.union(rows)
+_IMPORTED = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey"}
+
 
-    ends = spark.createDataFrame([(0, '{"type":"manifest","database":"tpch","tables":["region","nation"]}'), (30_000_000, '{"type":"complete","tables":2}')], "n long, line string")
-    return ends.union(part("region", "r_regionkey", 10)).union(part("nation", "n_nationkey", 10_000))
+def _export(spark: SparkSession, d: str) -> DataFrame:
+    return jsonl.exported({name: (table(spark, d, name), [key]) for name, key in _IMPORTED.items()}, "tpch")
 
 
-@query("select 'public.region' as \"table\", count(*) as n_rows, count(*) as expected from region union all select 'public.nation', count(*), count(*) from nation")
+@query(" union all ".join(f"select 'public.{name}' as \"table\", count(*) as n_rows, count(*) as expected from {name}" for name in _IMPORTED))
 def jsonl_import_counts(spark: SparkSession, d: str) -> DataFrame:
-    return jsonl.counts(jsonl.frames(_export(spark, d)))
+    found = jsonl.frames(_export(spark, d))
+    jsonl.validate(found)
+    return jsonl.counts(found)
+
+
+_IDS = " union all ".join(f"select 'public.{name}' as \"table\", '{key}' as k, {key}::varchar as v from {name}" for name, key in _IMPORTED.items())
 
 
-@query("""with i as (select 'public.region' as "table", 'r_regionkey' as k, r_regionkey::varchar as v from region union all select 'public.nation', 'n_nationkey', n_nationkey::varchar from nation),
+@query(f"""with i as ({_IDS}),
 h as (select "table", v, sha256(len("table") || ':' || "table" || len(k) || ':' || k || len(v) || ':' || v) as id from i)
 select "table", id, (('0x' || substr(id, 1, 2))::int % 16)::int as bucket from h""")
 def jsonl_identity(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,8 @@ stay JSON text.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,28 @@ def frames(lines: DataFrame, most_tables: int = 10_000) -> DataFrame:
     )
 
 
+def exported(tables: dict[str, tuple[DataFrame, list[str]]], database: str, schema: str = "public") -> DataFrame:
+    """(n, line): the frames of an export of tables (rows, primary key), in order of n.
+
+    n is the table's number, then 0 for its frame, 1 for a row and 2 for its end, then the row's key as text, so nothing is numbered
+    in one task.  ``lines.orderBy("n").select("line").write.text(path)`` makes the file.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    place = lambda k, step: F.concat(F.lit(f"{k:06d}|{step}|"))
+    ends = [("000000|0|", json.dumps({"type": "manifest", "database": database, "tables": list(tables)})), ("999999|2|", json.dumps({"type": "complete", "tables": len(tables)}))]
+    out = None
+    for k, (name, (rows, key)) in enumerate(tables.items(), 1):
+        n = rows.count()
+        ends.append((f"{k:06d}|0|", json.dumps({"type": "table", "schema": schema, "table": name, "primary_key": key, "estimated_rows": n})))
+        ends.append((f"{k:06d}|2|", json.dumps({"type": "end", "rows": n})))
+        by = F.concat_ws(",", *[F.lpad(F.col(c).cast("string"), 20, "0") for c in key])
+        ctid = F.concat(F.lit("(0,"), F.xxhash64(*key).cast("string"), F.lit(")"))
+        line = F.to_json(F.struct(F.lit("row").alias("type"), ctid.alias("ctid"), F.lit(str(16383 + k)).alias("tableoid"), F.struct("*").alias("row")))
+        part = rows.select(F.concat(place(k, 1), by).alias("n"), line.alias("line"))
+        out = part if out is None else out.union(part)
+    return out.union(spark.createDataFrame(ends, "n string, line string"))
+
+
 def counts(frames_: DataFrame) -> DataFrame:
     """(table, n_rows, expected): rows read and rows that the end frame promised."""
     per = frames_.filter("segment > 0").groupBy("segment").agg(F.max(F.when(F.col("type") == "table", F.col("table"))).alias("table"), F.count_if(F.col("type") == "row").alias("n_rows"), F.max(F.when(F.col("type") == "end", F.col("rows"))).alias("expected"))
@@ -77,5 +101,16 @@ def validate(frames_: DataFrame) -> None:
         raise Corruption("unknown frame")
     if problem["size"] > FRAME_MOST:
         raise Corruption("frame too large")
+    order = frames_.agg(
+        F.min_by("type", "n").alias("first"), F.max_by("type", "n").alias("last"), F.count_if((F.col("type") == "row") & (F.col("segment") == 0)).alias("loose"),
+        F.count_if(F.col("type") == "table").alias("tables"), F.count_if(F.col("type") == "end").alias("ends"), F.max(F.when(F.col("type") == "complete", F.col("tables").cast("long"))).alias("said"),
+    ).first()
+    if (order["first"], order["last"]) != ("manifest", "complete") or order["loose"]:
+        raise Corruption("frames are out of order")
+    if not order["tables"] == order["ends"] == order["said"]:
+        raise Corruption("the numbers of table, end and complete frames differ")
+    late = frames_.groupBy("segment").agg(F.max(F.when(F.col("type") == "row", F.col("n"))).alias("row"), F.min(F.when(F.col("type") == "end", F.col("n"))).alias("end"))
+    if not late.filter("row > end").isEmpty():
+        raise Corruption("a row after its table's end")
     if not counts(frames_).filter(F.col("expected").isNull() | (F.col("expected") != F.col("n_rows"))).isEmpty():
         raise Corruption("a table's rows differ from its end frame")

@@ -11,8 +11,10 @@ import hashlib
 import json
 import math
 import secrets
+import struct
 import time
 import uuid
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import codec, keys, placement
 from rillstone.operators import changes, records, surfaces, vector_search
+from rillstone.operators.quota import Guard
 from rillstone.schema import (
-    IDENTITY, KINDS, LEASE_MARGIN_MS, MAX_ATTEMPTS, MAX_BATCH_OPS, MAX_COMPONENT, MAX_METADATA, MAX_PAGE, MAX_RECORD, MUTATION, SHARDS,
+    IDENTITY, KINDS, LEASE_MARGIN_MS, MAX_ATTEMPTS, MAX_BATCH_OPS, MAX_COMPONENT, MAX_METADATA, MAX_PAGE, MAX_RECORD, MUTATION, PAYLOAD, SHARDS,
     ChangeLogGap, Conflict, Corruption, InvalidArgument, LeaseError, NotFound, ResourceLimit, Unsupported,
 )
 from rillstone.sources.files import Files
@@ -36,6 +39,13 @@ def identity(*parts: str | bytes) -> Id:
     return out  # type: ignore[return-value]
 
 
+def _f32(x: float) -> float:
+    try:
+        return struct.unpack("<f", struct.pack("<f", x))[0]
+    except OverflowError:
+        return math.inf
+
+
 def payload_of(value) -> dict:
     """A Python value as a payload; a dict of one kind is taken as it is."""
     if isinstance(value, dict):
@@ -49,8 +59,8 @@ def payload_of(value) -> dict:
             raise InvalidArgument(f"no payload kind for {type(value).__name__}")
     if kind == "f64" and not math.isfinite(v):
         raise InvalidArgument("f64 must be finite")
-    if kind == "vector" and (not v or not all(math.isfinite(x) for x in v)):
-        raise InvalidArgument("vector must be finite and not empty")
+    if kind == "vector" and (not v or not all(math.isfinite(_f32(x)) for x in v)):
+        raise InvalidArgument("vector must be finite as 32-bit floats and not empty")
     if kind == "document" and v["schema_version"] <= 0:
         raise InvalidArgument("schema_version must be positive")
     if kind == "blob" and not v["id"]:
@@ -90,7 +100,9 @@ def now_ms() -> int:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, shards: int = SHARDS) -> None:
+    def __init__(self, spark: SparkSession, root: str, shards: int = SHARDS, guard: Guard | None = None, max_bytes: int | None = None) -> None:
+        """guard: quotas of the tenants; max_bytes: what the store's files may hold, a commit counting twice its size."""
+        self.guard, self.max_bytes, self.failed = guard, max_bytes, False
         if shards & (shards - 1) or shards <= 0:
             raise InvalidArgument("shards must be a power of two")
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
@@ -116,6 +128,16 @@ class Store:
             raise Conflict("another writer committed first; reopen the store")
         self.state = state
 
+    def healthy(self) -> bool:
+        """False once a commit broke off half-way; every later commit is then refused until the store is opened again."""
+        return not self.failed
+
+    def _may_write(self, size: int) -> None:
+        if self.failed:
+            raise Corruption("an earlier write failed; open the store again")
+        if self.max_bytes is not None and self.files.used() + 2 * size > self.max_bytes:
+            raise ResourceLimit("the store's disk budget is used up")
+
     def refresh(self) -> None:
         self.state = self._newest() or self.state
 
@@ -210,12 +232,11 @@ class Store:
                 raise Conflict("the record has another version")
             if sum(len(k.encode()) + len(v) for k, v in m.metadata.items()) > MAX_METADATA:
                 raise ResourceLimit("metadata too large")
-            if m.op == "delete":
-                if old is None:
-                    raise NotFound("nothing to delete")
-                rows.append({"op": "delete", "payload": None, "content_type": old["content_type"], "expires_ms": None, "metadata": {}, "workflow": old["workflow"], "tombstone": True, "delta": m.delta})
-                continue
             fresh = {"state": "pending" if m.op == "append" else "ready", "attempt": 0, "lease_id": None, "fencing": 0, "deadline_ms": None}
+            if m.op == "delete":  # a tombstone is written for a key without versions, too
+                kept = {"content_type": old["content_type"], "workflow": old["workflow"]} if old else {"content_type": m.content_type, "workflow": fresh}
+                rows.append({"op": "delete", "payload": None, "expires_ms": None, "metadata": {}, "tombstone": True, "delta": m.delta} | kept)
+                continue
             rows.append({"op": m.op, "payload": payload_of(m.value), "content_type": m.content_type, "expires_ms": None if m.ttl_ms is None else at + m.ttl_ms, "metadata": m.metadata, "workflow": old["workflow"] if old and m.op == "put" else fresh, "tombstone": False, "delta": m.delta})
         receipts = self._commit(ids, rows, heads, at, lambda made: {"idempotency": memo | {key: {"mark": mark, "expires": at + request_ttl_ms, "receipts": [[r.sequence, r.shard, r.batch_id, r.durable] for r in made]}}} if key else {}, durable)
         return receipts
@@ -233,10 +254,65 @@ class Store:
             receipts.append(Receipt(i, last + k + 1, shard, last + 1, mark))
         name = f"data/{uuid.uuid4().hex}"
         order = [f.name for f in MUTATION.fields]
-        self.spark.createDataFrame([tuple(r[c] for c in order) for r in out], MUTATION).coalesce(1).write.parquet(f"{self.root}/{name}")
+        size = sum(len(repr(r["payload"])) for r in rows)
+        self._may_write(size)
+        with self.guard.request(ids[0][0].decode(), size) if self.guard else nullcontext():
+            try:
+                self.spark.createDataFrame([tuple(r[c] for c in order) for r in out], MUTATION).coalesce(1).write.parquet(f"{self.root}/{name}")
+            except Exception:
+                self.failed = True
+                raise
         self._publish({"files": [*self.state["files"], name], "sequence": self.state["sequence"] | {str(shard): last + len(ids)}, "durable": self.state["durable"] | {str(shard): mark}} | more(receipts))
         return receipts
 
+    def put_frame(self, rows: DataFrame, at_ms: int | None = None) -> int:
+        """Put every row of a DataFrame in one commit, without passing the driver; returns how many.
+
+        Columns: the identity's five (text or binary), ``kind`` and the column of that kind, as in the payload.  Each identity once.
+        A shard's sequences follow one another; its rows are batches of 1,024.
+        """
+        at, wide = now_ms() if at_ms is None else at_ms, {f.name: f.dataType for f in PAYLOAD.fields}
+        self._may_write(0)
+        payload = F.struct(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in wide.items()])
+        ids = [F.col(c).cast("binary").alias(c) for c in IDENTITY]
+        parts = [x for c in IDENTITY[:4] for x in (F.col(c), F.lit(bytearray(b"\0")))][:-1]
+        shard = F.conv(F.substring(F.sha2(F.concat(*parts), 256), 9, 8), 16, 10).cast("long").bitwiseAND(F.lit(self.state["shards"] - 1)).cast("int")
+        made = rows.select(*ids, payload.alias("payload")).withColumns({"shard": shard, "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+        staging, name = f"staging/{uuid.uuid4().hex}", f"data/{uuid.uuid4().hex}"
+        made.write.parquet(f"{self.root}/{staging}")
+        staged = self.spark.read.parquet(f"{self.root}/{staging}")
+        try:
+            bad = F.count_if(F.coalesce(*[F.col(c).isNull() | (F.octet_length(c) == 0) | (F.octet_length(c) > MAX_COMPONENT) for c in IDENTITY]) | ~F.col("payload.kind").isin(*KINDS) | F.col("payload.kind").isNull())
+            if staged.agg(bad).first()[0] or not staged.groupBy(*IDENTITY).count().filter("count > 1").isEmpty():
+                raise InvalidArgument("an identity or kind is wrong, or an identity repeats")
+            names = [tuple(bytes(x) for x in r) for r in records.bounded(staged.select(*IDENTITY[:3]).distinct(), MAX_PAGE).collect()]
+            modes = {n: self._mode(n) for n in names}
+            if "delta" in modes.values():
+                raise InvalidArgument("the collection keeps deltas: a delta is needed")
+            sizes = staged.groupBy("shard", "_part").agg(F.count("*").alias("n"))
+            before = F.sum("n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+            last = self.spark.createDataFrame([(k, self.state["sequence"].get(str(k), 0)) for k in range(self.state["shards"])], "shard int, last long")
+            offsets = sizes.withColumn("before", before).join(F.broadcast(last), "shard")
+            nth = F.col("before") + F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_at"))
+            old = self.heads().select(*IDENTITY, F.col("sequence").alias("previous"), F.col("created_ms").alias("_created"), F.col("workflow").alias("_workflow"))
+            fresh = F.struct(F.lit("ready").alias("state"), F.lit(0).alias("attempt"), F.lit(None).cast("binary").alias("lease_id"), F.lit(0).cast("long").alias("fencing"), F.lit(None).cast("long").alias("deadline_ms"))
+            retention = F.create_map(*[x for n, m in modes.items() for x in (F.lit("/".join(p.hex() for p in n)), F.lit(m))]) if modes else F.create_map(F.lit(""), F.lit(""))
+            whole = staged.join(offsets, ["shard", "_part"]).withColumn("nth", nth).join(old, list(IDENTITY), "left").select(
+                *IDENTITY, F.lit(self.state["epoch"]).cast("long").alias("epoch"), "shard", (F.col("last") + F.col("nth")).alias("sequence"), F.lit("put").alias("op"),
+                (F.col("last") + 1 + F.floor((F.col("nth") - 1) / MAX_BATCH_OPS) * MAX_BATCH_OPS).cast("long").alias("batch_id"), "previous", "payload", F.lit("application/octet-stream").alias("content_type"),
+                F.coalesce("_created", F.lit(at)).alias("created_ms"), F.lit(at).cast("long").alias("updated_ms"), F.lit(None).cast("long").alias("expires_ms"), F.expr("cast(map() as map<string,binary>)").alias("metadata"),
+                F.coalesce("_workflow", fresh).alias("workflow"), F.lit(False).alias("tombstone"), F.element_at(retention, F.concat_ws("/", *[F.lower(F.hex(c)) for c in IDENTITY[:3]])).alias("body"),
+                F.lit(None).cast("binary").alias("delta"), F.lit(True).alias("event_present"), F.lit(True).alias("version_present"),
+            )
+            whole.write.parquet(f"{self.root}/{name}", compression="zstd")
+            ends = {str(r["shard"]): self.state["sequence"].get(str(r["shard"]), 0) + r["n"] for r in staged.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        finally:
+            self.files.delete(staging)
+        total = sum(v - self.state["sequence"].get(k, 0) for k, v in ends.items())
+        if total:
+            self._publish({"files": [*self.state["files"], name], "sequence": self.state["sequence"] | ends, "durable": self.state["durable"] | ends})
+        return total
+
     def sync(self) -> dict[str, int]:
         """Every shard's durable watermark becomes its sequence."""
         self._publish({"durable": dict(self.state["sequence"])})
@@ -284,6 +360,17 @@ class Store:
         alive = records.live(mine, now_ms() if at_ms is None else at_ms).select(*IDENTITY, "sequence", F.col("payload.vector").alias("vector"))
         return vector_search.exact_top_k(alive, "vector", query, limit, keys.scan_order(("partition", "key")), metric)
 
+    def vector_counts(self, tenant: str, namespace: str, collection: str, width: int, at_ms: int | None = None) -> dict:
+        """What ``vector_exact`` reads of a collection and what of it is scored."""
+        mine = self._only(self.heads(), (tenant.encode(), namespace.encode(), collection.encode()))
+        alive = records.live(mine, now_ms() if at_ms is None else at_ms).select(F.col("payload.vector").alias("vector"))
+        return {"scanned": mine.count(), "candidates": vector_search.search_counts(alive, "vector", width).first()["candidates"]}
+
+    def dereference(self, events: DataFrame) -> DataFrame:
+        """Events with the version each names: its payload, or null where the version was collected."""
+        key = [*IDENTITY, "sequence"]
+        return events.drop("payload").join(self.versions().select(*key, "payload"), key, "left")
+
     # ------------------------------------------------------------ changes
 
     def changes(self, shard: int, after: int, limit: int) -> list:
@@ -340,11 +427,14 @@ class Store:
     def expire_due(self, at_ms: int, limit: int = MAX_PAGE) -> int:
         """Tombstones for live records whose expiry is due, in order of (expiry, key); deltas collections can't expire."""
         due = self.heads().filter(~F.col("tombstone") & (F.col("expires_ms") <= at_ms)).orderBy("expires_ms", *keys.scan_order()).limit(limit).collect()
+        groups: dict[tuple, list[Mutation]] = {}
         for r in due:
             i = tuple(bytes(r[c]) for c in IDENTITY)
             if self._mode(i[:3]) == "delta":
                 raise Unsupported("a delta collection can't expire")
-            self.atomic_batch([Mutation(i, op="delete", expected=r["sequence"])], at_ms=at_ms)
+            groups.setdefault(i[:4], []).append(Mutation(i, op="delete", expected=r["sequence"]))
+        for batch in groups.values():  # a commit for each partition
+            self.atomic_batch(batch, at_ms=at_ms)
         return len(due)
 
     def _work(self, id: Id, lease: bytes | None, fencing: int | None, at: int, change: dict, op: str, expect: str = "leased") -> dict:
