@@ -273,7 +273,7 @@ class Store:
         """
         at, wide = now_ms() if at_ms is None else at_ms, {f.name: f.dataType for f in PAYLOAD.fields}
         self._may_write(0)
-        payload = F.struct(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in wide.items()])
+        payload = F.struct(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t.simpleString()).alias(c) for c, t in wide.items()])
         ids = [F.col(c).cast("binary").alias(c) for c in IDENTITY]
         parts = [x for c in IDENTITY[:4] for x in (F.col(c), F.lit(bytearray(b"\0")))][:-1]
         shard = F.conv(F.substring(F.sha2(F.concat(*parts), 256), 9, 8), 16, 10).cast("long").bitwiseAND(F.lit(self.state["shards"] - 1)).cast("int")
@@ -282,9 +282,10 @@ class Store:
         made.write.parquet(f"{self.root}/{staging}")
         staged = self.spark.read.parquet(f"{self.root}/{staging}")
         try:
-            bad = F.count_if(F.coalesce(*[F.col(c).isNull() | (F.octet_length(c) == 0) | (F.octet_length(c) > MAX_COMPONENT) for c in IDENTITY]) | ~F.col("payload.kind").isin(*KINDS) | F.col("payload.kind").isNull())
+            odd = F.exists("payload.vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.size("payload.vector") == 0) | F.isnan("payload.f64") | (F.abs("payload.f64") == float("inf"))
+            bad = F.count_if(F.coalesce(odd, F.lit(False)) | F.array_contains(F.array(*[F.col(c).isNull() | (F.octet_length(c) == 0) | (F.octet_length(c) > MAX_COMPONENT) for c in IDENTITY]), True) | ~F.col("payload.kind").isin(*KINDS) | F.col("payload.kind").isNull())
             if staged.agg(bad).first()[0] or not staged.groupBy(*IDENTITY).count().filter("count > 1").isEmpty():
-                raise InvalidArgument("an identity or kind is wrong, or an identity repeats")
+                raise InvalidArgument("an identity, kind or number is wrong, or an identity repeats")
             names = [tuple(bytes(x) for x in r) for r in records.bounded(staged.select(*IDENTITY[:3]).distinct(), MAX_PAGE).collect()]
             modes = {n: self._mode(n) for n in names}
             if "delta" in modes.values():

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rillstone.plans import catalog
+from rillstone.plans import stateful as catalog
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
