@@ -153,6 +153,38 @@ def test_lm_is_a_distribution_and_learns():
     assert np.allclose(whole, lm.document_log_probs(after, np.append(np.tile([1, 2, 3, 4], 50), 0), np.array([201]), window=7), rtol=1e-4)
 
 
+def test_lm_scores_by_plain_loops():
+    """Document scores against the network's equations, a number at a time."""
+    s = lm.Settings(classes=3, words=4, hidden=5)
+    net = lm.train(s, [np.random.default_rng(3).integers(0, 13, 900)], np.ones(12), 2.0)
+    p, n = {k: v.astype(float).tolist() for k, v in net.p.items()}, s.hidden
+    squash = lambda x: 1 / (1 + math.exp(-x))
+
+    def chance(logits, k):
+        return math.exp(logits[k]) / sum(map(math.exp, logits))
+
+    def plain(tokens):
+        h, total, before = [0.0] * n, 0.0, 0
+        for t in tokens:
+            x = [a + b for a, b in zip(p["x"][before], p["b"])]
+            rec = lambda v, j: sum(v[i] * p["u"][i][j] for i in range(n))  # noqa: E731, B023
+            z, r = ([squash(x[o + j] + rec(h, o + j)) for j in range(n)] for o in (0, n))
+            rh = [a * b for a, b in zip(r, h)]
+            new = [math.tanh(x[2 * n + j] + rec(rh, 2 * n + j)) for j in range(n)]
+            h = [a + c * (b - a) for a, b, c in zip(h, new, z)]
+            c = min(t // s.words, s.classes)
+            total += math.log(chance([p["bc"][k] + sum(h[i] * p["wc"][i][k] for i in range(n)) for k in range(s.classes + 1)], c))
+            if c < s.classes:
+                total += math.log(chance([p["bw"][c][k] + sum(h[i] * p["ww"][c][i][k] for i in range(n)) for k in range(s.words)], t - c * s.words))
+            before = t
+        return total
+
+    r = np.random.default_rng(4)
+    texts = [[*r.integers(1, 13, k).tolist(), 0] for k in (0, 1, 7, 40, 40)]
+    got = lm.document_log_probs(net, np.concatenate(texts), np.array([len(t) for t in texts]), window=8)
+    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-4)
+
+
 def test_lm_gradient():
     s = lm.Settings(classes=2, words=2, hidden=3, window=4)
     r = np.random.default_rng(1)
@@ -228,6 +260,14 @@ def test_packed(docs, nothing):
             assert offset == end
             end += n
         assert end <= 2048
+    bins = []  # first fit by falling length
+    for n in sorted((x for placed in sequences.values() for _, x in placed), reverse=True):
+        k = next((k for k, b in enumerate(bins) if b + n <= 2048), None)
+        if k is None:
+            bins.append(n)
+        else:
+            bins[k] += n
+    assert len(sequences) <= 1.05 * len(bins) + 2
     assert packing.packed(nothing).count() == 0
     assert packing.packed(docs.union(docs)).count() == 2 * len(rows)
 
@@ -515,6 +555,27 @@ def test_media(docs, nothing):
     assert media.stored_texts(nothing).count() == 0
 
 
+def test_media_by_the_standard_library(docs):
+    import io
+    import wave
+
+    got = by_id(media.stored_texts(docs), "media_sha256", "media_bytes", "feature")
+    for i, t in documents():
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(payload)
+        stored = out.getvalue()
+        counts = [payload.count(bytes([k])) for k in range(256)]
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        want = f"wav8:frames={len(payload) // 192};mean={sum(payload) * 1000 // len(payload)};crossings={crossings};mode={counts.index(max(counts))};"
+        assert got[i][:2] == (hashlib.sha256(stored).hexdigest(), len(stored)) and got[i][2].startswith(want)
+
+
 def test_sniffing(spark):
     import gzip
     import io
@@ -579,6 +640,40 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.held_out_scores(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_by_plain_ftrl(spark):
+    """The same model over word tuples in dictionaries, without hashes or arrays."""
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randrange(0, 25)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("zeta eta" in t or i % 9 == 0)) for i, t in rows], "doc_id long, toxic int")
+    s = toxicity.Settings(l1=0.3)
+
+    def tuples(text):
+        w = text.lower().split()
+        return {(x,) for x in w} | set(zip(w, w[1:])) | {(a, "*", b) for a, b in zip(w, w[2:])}
+
+    z, n = {}, {}
+
+    def weight(x):
+        zx, nx = z.get(x, 0.0), n.get(x, 0.0)
+        l1 = 0.0 if x == "bias" else s.l1
+        return 0.0 if abs(zx) <= l1 else (math.copysign(l1, zx) - zx) / ((s.beta + math.sqrt(nx)) / s.alpha + s.l2)
+
+    chance = lambda xs: 1 / (1 + math.exp(-sum(weight(x) for x in xs) - weight("bias")))
+    taught = toxicity.training_rows(docs, labels, s, lambda c: common.id_crc32(c) % 4 != 2)
+    assert sorted(t.decode() for t, _ in taught) == sorted(t for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    for _ in range(s.epochs):
+        for text, y in taught:
+            xs = [*tuples(text.decode()), "bias"]
+            g = chance(xs[:-1]) - y
+            for x, w in [(x, weight(x)) for x in xs]:
+                old = n.get(x, 0.0)
+                z[x] = z.get(x, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / s.alpha * w
+                n[x] = old + g * g
+    got = by_id(toxicity.held_out_scores(docs, labels, s), "score")
+    assert all(math.isclose(got[i][0], chance(tuples(t)), abs_tol=2e-5) for i, t in rows)
+
+
 def test_toxicity_skips_texts_that_do_not_fit(spark):
     rows = [(i, f"word{i} " * (1000 if i % 7 == 3 else 2)) for i in range(24)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
