@@ -15,6 +15,11 @@ def query_problem(query: list[float]) -> str | None:
     return "a query needs finite components" if not query or not all(math.isfinite(x) for x in query) else None
 
 
+def _literal(query: list[float]) -> Column:
+    """An array literal, parsed at once: a call for each component would take longer than the search of a small table."""
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in query) + ")")
+
+
 def _sum_of(column: str, query: list[float] | None, width: int) -> Column:
     v = F.col(column)
     if width <= UNROLLED:
@@ -23,28 +28,41 @@ def _sum_of(column: str, query: list[float] | None, width: int) -> Column:
             x = F.get(v, F.lit(i)).cast("double")
             total = total + x * (x if query is None else F.lit(float(query[i])))
         return total
-    other = v if query is None else F.array(*[F.lit(float(x)) for x in query])
+    other = v if query is None else _literal(query)
     return F.aggregate(F.zip_with(v, other, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
 
 
-def _finite(score: Column) -> Column:
-    """The score as a float; one that a float can't hold is an error."""
+def _odd(column: str) -> Column:
+    return F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def _finite(score: Column, column: str) -> Column:
+    """The score as a float; null where a component is null or not finite, an error where a float can't hold it.
+
+    A bad component always spoils the score, so components are looked at for such rows only.
+    """
     small = score.cast("float")
     fine = ~F.isnan(small) & (F.abs(small) < F.lit(float("inf")))
-    return F.when(fine, small).otherwise(F.raise_error(F.lit("a score is no finite float")).cast("float"))
+    bad = F.lit(None).cast("float")
+    return F.when(fine, small).when(score.isNull() | _odd(column), bad).otherwise(F.raise_error(F.lit("a score is no finite float")).cast("float"))
 
 
-def dot(column: str, query: list[float]) -> Column:
-    return _finite(_sum_of(column, query, len(query)))
+def dot(column: str, query: list[float], norm: Column | None = None) -> Column:
+    """Null for a vector with a null or non-finite component."""
+    return _finite(_sum_of(column, query, len(query)), column)
 
 
-def cosine(column: str, query: list[float]) -> Column:
-    """0 where either vector has no length."""
+def squared_length(column: str, width: int) -> Column:
+    return _sum_of(column, None, width)
+
+
+def cosine(column: str, query: list[float], norm: Column | None = None) -> Column:
+    """0 where either vector has no length; null for a vector with a null or non-finite component.  norm: its squared length, if known."""
     size = 0.0
     for x in query:
         size += float(x) * float(x)
-    below = _sum_of(column, None, len(query)) * F.lit(size)
-    return _finite(F.when(below > 0, _sum_of(column, query, len(query)) / F.sqrt(below)).otherwise(F.lit(0.0)))
+    below = (squared_length(column, len(query)) if norm is None else norm) * F.lit(size)
+    return _finite(F.when(below.isNull(), below).when(below > 0, _sum_of(column, query, len(query)) / F.sqrt(below)).otherwise(F.lit(0.0)), column)
 
 
 def _sum_f32(column: str, other: Column) -> Column:
@@ -66,8 +84,11 @@ def cosine_f32(column: str, query: list[float]) -> Column:
 
 def is_candidate(column: str, width: int) -> Column:
     """A vector of this width whose components are all finite."""
-    odd = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.col(column).isNotNull() & (F.size(column) == width) & ~odd
+    return has_width(column, width) & ~_odd(column)
+
+
+def has_width(column: str, width: int) -> Column:
+    return F.col(column).isNotNull() & (F.size(column) == width)
 
 
 def parsed_vector(text: Column) -> Column:

@@ -31,6 +31,12 @@ def get_batch(current: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     return keys.join(current, key, "left").orderBy("ord")
 
 
+def get_batch_of(versions: DataFrame, keys: DataFrame, key: list[str], order: str, most: int = 1024) -> DataFrame:
+    """As ``get_batch``, from the log: a request of at most ``most`` keys is broadcast, so only its versions are aggregated."""
+    mine = versions.join(F.broadcast(bounded(keys, most).select(*key).distinct()), key, "left_semi")
+    return get_batch(heads(mine, key, order), keys, key)
+
+
 def get_version(versions: DataFrame, key: dict, order: str, at: int) -> DataFrame:
     """One exact version."""
     found = versions.filter(F.col(order) == at)
@@ -49,7 +55,10 @@ def keyset_page(rows: DataFrame, cursor: str, after, limit: int) -> DataFrame:
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """rows, or ResourceLimit if there are more than ``most``; reads most + 1 rows at most for the test."""
+    """rows, or ResourceLimit if there are more than ``most``; reads most + 1 rows at most for the test, none where the plan bounds them."""
+    known = rows._jdf.queryExecution().optimizedPlan().maxRows()
+    if known.isDefined() and known.get() <= most:
+        return rows
     if rows.limit(most + 1).count() > most:
         raise ResourceLimit(f"more than {most} rows")
     return rows

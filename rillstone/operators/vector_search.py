@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions.vectors import cosine, dot, is_candidate, query_problem
+from rillstone.functions.vectors import cosine, dot, has_width, is_candidate, query_problem, squared_length
 from rillstone.operators.records import bounded
 from rillstone.schema import InvalidArgument
 
@@ -23,7 +23,8 @@ def exact_top_k(rows: DataFrame, vector: str, query: list[float], k: int, tie: l
         raise InvalidArgument("limit must be positive")
     if max_scan is not None:
         rows = bounded(rows, max_scan)
-    return rows.filter(is_candidate(vector, len(query))).withColumn("score", METRICS[metric](vector, query)).orderBy(F.desc("score"), *tie).limit(k)
+    scored = rows.filter(has_width(vector, len(query))).withColumn("score", METRICS[metric](vector, query))
+    return scored.orderBy(F.desc_nulls_last("score"), *tie).limit(k).filter("score is not null")  # no score: no candidate
 
 
 def search_counts(rows: DataFrame, vector: str, width: int) -> DataFrame:
@@ -49,17 +50,19 @@ def accelerated_top_k(rows: DataFrame, vector: str, key: str, query: list[float]
         q = np.array(query, np.float64)
         for b in batches:
             m = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
-            s = m @ q  # candidates are finite and without nulls
+            fine = np.isfinite(m).all(1)  # a null has become NaN
+            m = m[fine]
+            s = m @ q
             if metric == "cosine":
                 below = (m * m).sum(1) * (q @ q)
                 s = np.where(below > 0, s / np.sqrt(np.where(below > 0, below, 1)), 0.0)
-            keys, s = b.column(0).to_numpy(zero_copy_only=False), s.astype(np.float32)
+            keys, s = b.column(0).to_numpy(zero_copy_only=False)[fine], s.astype(np.float32)
             if not np.isfinite(s).all():
                 raise ValueError("a score is no finite float")
             top = np.lexsort((keys, -s))[:k]
             yield pa.RecordBatch.from_arrays([pa.array(keys[top]), pa.array(s[top])], ["key", "score"])
 
-    found = rows.filter(is_candidate(vector, width)).select(F.col(key).cast("long").alias("key"), vector).mapInArrow(run, "key long, score float")
+    found = rows.filter(has_width(vector, width)).select(F.col(key).cast("long").alias("key"), vector).mapInArrow(run, "key long, score float")
     return found.orderBy(F.desc("score"), "key").limit(k).select(F.col("key").alias(key), "score")
 
 
@@ -71,7 +74,9 @@ def multi_top_k(rows: DataFrame, vector: str, queries: dict[int, list[float]], k
     width = {len(q) for q in queries.values()}
     if len(width) != 1:
         raise InvalidArgument("queries of one request have one width")
-    scores = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), METRICS[metric](vector, q).alias("score")) for i, q in queries.items()])
-    scored = rows.filter(is_candidate(vector, width.pop())).select(tie, F.explode(scores).alias("s")).select("s.query_id", tie, "s.score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    n = width.pop()
+    scores = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), METRICS[metric](vector, q, F.col("_norm")).alias("score")) for i, q in queries.items()])
+    normed = rows.filter(has_width(vector, n)).select(tie, vector, squared_length(vector, n).alias("_norm"))  # once for all queries
+    scored = normed.select(tie, F.explode(scores).alias("s")).select("s.query_id", tie, "s.score")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), tie)
+    return scored.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & F.col("score").isNotNull())

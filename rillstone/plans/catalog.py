@@ -194,7 +194,7 @@ def get_live(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG + ", k as (select i::bigint as ord, (i * 7 % 200)::bigint as user_id from range(40) t(i)) select k.ord, k.user_id, seq, case when not tombstone then event_type end as value from k left join heads using (user_id)")
 def get_batch(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.range(40).select(F.col("id").alias("ord"), (F.col("id") * 7 % 200).alias("user_id"))
-    got = records.get_batch(records.heads(log(spark, d), KEY, "seq"), asked, KEY)
+    got = records.get_batch_of(log(spark, d), asked, KEY, "seq")
     return got.select("ord", "user_id", "seq", F.when(~F.col("tombstone"), F.col("event_type")).alias("value"))
 
 
