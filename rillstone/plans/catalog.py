@@ -164,7 +164,7 @@ def synthetic_vectors(spark: SparkSession, d: str) -> DataFrame:
 def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every text through the adaptive compression and back."""
     back = codec.decoded(codec.encoded(table(spark, d, "documents").filter("text is not null"), "doc_id", "text"))
-    return back.select(F.col("key").cast("long").alias("doc_id"), F.octet_length("data").alias("size"), F.sha2("data", 256).alias("sha"))
+    return back.select(F.col("key").cast("long").alias("doc_id"), F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha"))
 
 
 # ---------------------------------------------------------------- current state and scans
