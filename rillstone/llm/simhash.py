@@ -21,6 +21,7 @@ Full distances alone would deal badly: they lie within about 4 of 32, so a refer
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -302,11 +303,71 @@ def _common(docs: DataFrame, shingle: int, sample: int) -> np.ndarray:
     return np.sort(rows.view(np.uint64))
 
 
-def _candidates(reps: DataFrame, together: int) -> DataFrame:
-    """reps(id, n, fp, keys array) -> pairs(a, b) that share a key: all pairs of up to ``together`` documents, else each with the key's hub."""
-    keyed = reps.select("id", "n", "fp", F.explode("keys").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = written(keyed.join(groups, "key"), "shared")
+def parity_bits(h: np.ndarray, width: int = 1024) -> bytes:
+    """Which of ``width`` bits an odd number of the hashes falls on: two sets' bits differ in at most as many places as the sets do."""
+    return np.packbits(np.bincount((h >> np.uint64(54)).astype(np.int64) % width, minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def possible_pairs(n: np.ndarray, bits: np.ndarray, mark: np.ndarray, similarity: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with unequal ``mark`` that sizes ``n`` and parity ``bits`` (rows of 64-bit words) do not show to be less similar; loses none.
+
+    Sets of similarity t differ in at most (1 - t) / (1 + t) of their sizes' sum.  Rows are swept in order of size; memory is bounded by the step.
+    """
+    order = np.argsort(n, kind="stable")
+    n, bits, mark = n[order], bits[order], mark[order]
+    ends = np.searchsorted(n, n / (similarity - 1e-9), "right")
+    found = [np.empty((2, 0), np.int64)]
+    for start in range(0, len(n), step):
+        stop = min(len(n), start + step)
+        for left in range(start, int(ends[stop - 1]), 4096):
+            right = min(int(ends[stop - 1]), left + 4096)
+            a, b = np.nonzero(mark[start:stop, None] != mark[None, left:right])
+            a, b = a + start, b + left
+            near = (a < b) & (b < ends[a])
+            a, b = a[near], b[near]
+            most = (n[a] + n[b]) * ((1 - similarity) / (1 + similarity) + 1e-9)
+            differ = np.zeros(len(a), np.int64)
+            for k in range(0, bits.shape[1], 4):  # four words at a time; most pairs are out after the first
+                differ += np.bitwise_count(bits[a, k : k + 4] ^ bits[b, k : k + 4]).sum(1, dtype=np.int64)
+                near = differ <= most
+                a, b, most, differ = a[near], b[near], most[near], differ[near]
+            found.append(np.stack((order[a], order[b])))
+    a, b = np.concatenate(found, axis=1)
+    return a, b
+
+
+def _across(shared: DataFrame, reps: DataFrame, labels: DataFrame, together: int, similarity: float, block: int) -> DataFrame:
+    """pairs(a, b) of documents that share a key of over ``together`` documents, are not connected yet and may be similar.
+
+    A key whose documents are all connected has none, which is every family its hub holds together.  The rest is dealt by key and class of
+    size (a factor of 1 / similarity; each document also goes to the class below), and a cell of over ``block`` documents into pairs of
+    blocks, so that a task's memory is bounded; pairs inside a component are never looked at.
+    """
+    own = shared.filter(F.col("m") > together).select("key", "id").join(labels.select(F.col("a").alias("id"), F.col("b").alias("label")), "id", "left")
+    own = own.select("key", "id", F.coalesce("label", "id").alias("label"))
+    open_keys = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    size = F.floor(F.log("n") / -math.log(similarity * 0.999)).cast("int")  # a little wide, so that rounding parts no pair
+    rows = own.join(open_keys, "key").join(reps.select("id", "n", "bits"), "id")
+    rows = written(rows.select("id", "n", "bits", "label", F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size - 1))).alias("cell")), "open")
+    cells_ = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(cells_.filter("low < high").select("cell", "blocks"), "cell").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "label", "bits")
+
+    def sweep(key, table):
+        import pyarrow as pa
+
+        ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+        a, b = possible_pairs(n, bits, label, similarity)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    pairs = dealt.groupBy("cell", "i", "j").applyInArrow(sweep, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(shared: DataFrame, together: int) -> DataFrame:
+    """shared(id, n, fp, key, m) -> pairs that share a key: all pairs of up to ``together`` documents, else each with the key's hub."""
     few = shared.filter(F.col("m") <= together)
     left, right = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "fp")]) for side in "ab")
     pairs = left.join(right, "key").filter("id_a < id_b")
@@ -319,8 +380,10 @@ def _candidates(reps: DataFrame, together: int) -> DataFrame:
     return pairs.select(*names).unionByName(star.withColumnsRenamed({"id": "id_a", "n": "n_a", "fp": "fp_a"}).select(*names)).distinct()
 
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reach: int = 24, together: int = 64, sample: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(groups, links) of docs(doc_id, text) without null ids: groups(doc_id, id) names each document's least equal, links(a, b) join such ids.
+def similar_groups(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reach: int = 24, together: int = 64, sample: int = 4096, block: int = 1 << 15
+) -> tuple[DataFrame, DataFrame]:
+    """(groups, labels) of docs(doc_id, text) without null ids: groups(doc_id, id) names each document's least equal, labels(a, b) an id's least connected one.
 
     Documents with the same set of shingles are one.  Two sets of Jaccard similarity 0.8 or more share one of the first
     fifth of their elements in any common order; the order puts shingles that are common in a sample last, so the
@@ -328,8 +391,9 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
     within 3 bits, are discarded by size, by the pivot table and by XOR beyond ``reach`` bits (pairs of similarity 0.8 differ in 9.7,
     standard deviation 2.9); the survivors' shingles are compared.
 
-    A key of over ``together`` documents gives one pair for each of them, with the key's hub, and not all pairs: such groups are
-    families of near copies.  Two copies that are near each other, but neither near a hub nor together under a smaller key, stay apart.
+    A key of over ``together`` documents first gives one pair for each of them, with the key's hub, and not all pairs: such groups are
+    families of near copies.  What the hubs leave unconnected is swept in blocks (``_across``), past sizes and parity bits that
+    lose no pair, and its survivors' shingles are compared too.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -348,23 +412,25 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
                 h = shingle_hashes(t, shingle)
                 is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
                 first = h[np.argsort(is_late, kind="stable")][: prefix_length(len(h), similarity)]
-                out.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), first.view(np.int64)))
-            digest, n, keys = zip(*out, strict=True)
-            columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "fp", "keys"])
+                out.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), first.view(np.int64), parity_bits(h)))
+            digest, n, keys, bits = zip(*out, strict=True)
+            columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "fp", "keys", "bits"])
 
-    described = written(base.select("doc_id", "text", mark.alias("mark")).mapInArrow(describe, "doc_id long, mark long, digest binary, n long, fp long, keys array<long>"), "described")
+    described = written(base.select("doc_id", "text", mark.alias("mark")).mapInArrow(describe, "doc_id long, mark long, digest binary, n long, fp long, keys array<long>, bits binary"), "described")
     named = described.groupBy("doc_id").agg(F.min(F.struct("mark", "digest")).alias("first")).select("doc_id", "first.digest")
     least = written(named.groupBy("digest").agg(F.min("doc_id").alias("id")), "least")
-    reps = described.join(least, (described["digest"] == least["digest"]) & (described["doc_id"] == least["id"])).select("id", "n", "fp", "keys").dropDuplicates(["id"])
+    reps = described.join(least, (described["digest"] == least["digest"]) & (described["doc_id"] == least["id"])).select("id", "n", "fp", "keys", "bits").dropDuplicates(["id"])
     reps = written(reps, "reps")
+    keyed = reps.select("id", "n", "fp", F.explode("keys").alias("key"))
+    shared = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"), "shared")
     near = fingerprint_links(reps.select("fp").distinct())
     of = reps.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("r")).select("fp", "r.id", "r.n")
     side = lambda x, y: of.select(*[F.col(c).alias(f"{c}_{y}") for c in ("id", "n", "fp")]).withColumn(x, F.col(f"fp_{y}"))
     forest = near.join(side("a", "a"), "a").join(side("b", "b"), "b").select("id_a", "n_a", "fp_a", "id_b", "n_b", "fp_b")
     equal = reps.join(of.select("fp", F.col("id").alias("id_b"), F.col("n").alias("n_b")), "fp").filter("id <> id_b")
     equal = equal.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("fp").alias("fp_a"), "id_b", "n_b", F.col("fp").alias("fp_b"))
-    pairs = _candidates(reps, together).unionByName(forest).unionByName(equal).filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (similarity - 1e-9))
+    pairs = _candidates(shared, together).unionByName(forest).unionByName(equal).filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (similarity - 1e-9))
 
     def sift(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -376,11 +442,6 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
             ok &= np.bitwise_count(x ^ y) <= reach
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    sifted = written(pairs.select("id_a", "id_b", "fp_a", "fp_b").mapInArrow(sift, "a long, b long").distinct(), "pairs")
-    ids = sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct()
-    texts = base.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(mark, "text")).alias("text"))
-    texts = written(texts, "texts")
-
     def verify(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -397,10 +458,19 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, re
                 keep.append(both >= (similarity - 1e-9) * (len(own) + len(held[1]) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = sifted.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a")
-    whole = first.join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b").select("a", "b", "x", "y")
-    groups = named.join(least, "digest").select("doc_id", "id")
-    return groups, whole.mapInArrow(verify, "a long, b long")
+    def verified(some: DataFrame) -> DataFrame:
+        ids = some.select(F.col("a").alias("id")).union(some.select("b")).distinct()
+        texts = base.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(mark, "text")).alias("text"))
+        texts = written(texts, "texts")
+        first = some.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a")
+        return first.join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    sifted = written(pairs.select("id_a", "id_b", "fp_a", "fp_b").mapInArrow(sift, "a long, b long").distinct(), "pairs")
+    labels = component_labels(verified(sifted))
+    rest = written(_across(shared, reps, labels, together, similarity, block), "rest")
+    if not rest.isEmpty():
+        labels = component_labels(labels.unionByName(verified(rest)))
+    return named.join(least, "digest").select("doc_id", "id"), labels
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
@@ -411,8 +481,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **optio
     of docs, whatever they are called.
     """
     named = docs.filter("doc_id is not null")
-    groups, found = similar_links(named.select("doc_id", "text"), shingle, similarity, **options)
-    labels = component_labels(found)
+    groups, labels = similar_groups(named.select("doc_id", "text"), shingle, similarity, **options)
     ids = groups.select(F.col("id").alias("kept")).distinct().join(labels.select(F.col("a").alias("kept")), "kept", "left_anti")
     row = F.struct(F.xxhash64(F.col("text").cast("string")).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = named.select(F.col("doc_id").cast("long").alias("key"), row.alias("marked"))
@@ -420,4 +489,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **optio
     return one.select(*[F.col("marked.row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
-__all__ = ["cell_links", "cells", "discarded", "fingerprint", "fingerprint_links", "fingerprints", "keep_one", "links", "near_duplicates", "pivot_table", "similar_links"]
+__all__ = ["cell_links", "cells", "discarded", "fingerprint", "fingerprint_links", "fingerprints", "keep_one", "links", "near_duplicates", "pivot_table", "possible_pairs", "similar_groups"]

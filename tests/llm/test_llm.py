@@ -366,6 +366,43 @@ def test_keep_one(docs, nothing, spark):
     assert simhash.keep_one(df).filter("doc_id is null").count() == 2
 
 
+def test_keep_one_finds_links_past_the_hubs(spark):
+    """Chains of copies whose ends are far apart, and many strangers around one passage: every key goes through a hub."""
+    r = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    rows, passage = {}, [r.choice(vocabulary) for _ in range(60)]
+    for chain in range(6):
+        w = [*passage, *(r.choice(vocabulary) for _ in range(60))]
+        for k in range(14):
+            rows[chain * 100 + (k * 5) % 14] = " ".join(w)
+            for _ in range(2):
+                w[r.randrange(60, len(w))] = r.choice(vocabulary)
+            w = list(w)
+    for k in range(80):
+        rows[1000 + k] = " ".join([*passage, *(r.choice(vocabulary) for _ in range(r.randrange(3, 40)))])
+    want = set(brute.similar(rows).values())
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    for block in (1 << 15, 10):  # cells of over 10 documents are split into pairs of blocks
+        kept = {x["doc_id"] for x in simhash.keep_one(df, together=1, block=block).collect()}
+        assert kept == want
+
+
+def test_possible_pairs_lose_nothing():
+    r = np.random.default_rng(11)
+    base = [np.unique(r.integers(0, 1 << 64, int(k), np.uint64)) for k in r.integers(1, 400, 60)]
+    sets = base + [np.unique(np.concatenate((x[: max(1, int(len(x) * r.uniform(0.75, 1)))], r.integers(0, 1 << 64, len(x) // 15, np.uint64)))) for x in base]
+    bits = np.frombuffer(b"".join(map(simhash.parity_bits, sets)), np.uint64).reshape(len(sets), -1)
+    mark = np.arange(len(sets)) // 2 * 2
+    a, b = simhash.possible_pairs(np.array([len(x) for x in sets]), bits, mark, 0.8, step=7)
+    got = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert len(got) == len(a) and len(got) < len(sets) ** 2 / 8
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[j]))
+            if mark[i] != mark[j] and both >= 0.8 * (len(x) + len(sets[j]) - both):
+                assert (i, j) in got
+
+
 def test_prefixes_share_an_element():
     r = random.Random(1)
     for _ in range(300):
