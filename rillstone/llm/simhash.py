@@ -304,8 +304,15 @@ def _common(docs: DataFrame, shingle: int, sample: int) -> np.ndarray:
 
 
 def parity_bits(h: np.ndarray, width: int = 1024) -> bytes:
-    """Which of ``width`` bits an odd number of the hashes falls on: two sets' bits differ in at most as many places as the sets do."""
-    return np.packbits(np.bincount((h >> np.uint64(54)).astype(np.int64) % width, minlength=width).astype(np.uint8) & 1).tobytes()
+    """Which of ``width`` bits (a power of two) an odd number of the hashes falls on: two sets' bits differ in at most as many places as the sets do."""
+    at = (h >> np.uint64(32)).astype(np.int64) % width
+    return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Parity bits of several widths at the least of them, as rows of 64-bit words: the halves of a wider row are added."""
+    width = min(map(len, bits))
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in bits])
 
 
 def possible_pairs(n: np.ndarray, bits: np.ndarray, mark: np.ndarray, similarity: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -327,8 +334,11 @@ def possible_pairs(n: np.ndarray, bits: np.ndarray, mark: np.ndarray, similarity
             a, b = a[near], b[near]
             most = (n[a] + n[b]) * ((1 - similarity) / (1 + similarity) + 1e-9)
             differ = np.zeros(len(a), np.int64)
-            for k in range(0, bits.shape[1], 4):  # four words at a time; most pairs are out after the first
-                differ += np.bitwise_count(bits[a, k : k + 4] ^ bits[b, k : k + 4]).sum(1, dtype=np.int64)
+            k = 0
+            while k < bits.shape[1] and len(a):  # most pairs are out after the first words; about 2**22 words are met at a time
+                words = max(1, (1 << 22) // len(a))
+                differ += np.bitwise_count(bits[a, k : k + words] ^ bits[b, k : k + words]).sum(1, dtype=np.int64)
+                k += words
                 near = differ <= most
                 a, b, most, differ = a[near], b[near], most[near], differ[near]
             found.append(np.stack((order[a], order[b])))
@@ -339,27 +349,31 @@ def possible_pairs(n: np.ndarray, bits: np.ndarray, mark: np.ndarray, similarity
 def _across(shared: DataFrame, reps: DataFrame, labels: DataFrame, together: int, similarity: float, block: int) -> DataFrame:
     """pairs(a, b) of documents that share a key of over ``together`` documents, are not connected yet and may be similar.
 
-    A key whose documents are all connected has none, which is every family its hub holds together.  The rest is dealt by key and class of
-    size (a factor of 1 / similarity; each document also goes to the class below), and a cell of over ``block`` documents into pairs of
-    blocks, so that a task's memory is bounded; pairs inside a component are never looked at.
+    A key whose documents are all connected has none, which is every family its hub holds together; of keys with the same documents one is
+    taken.  The rest is dealt by key and class of size (a factor of 1 / similarity; each document also goes to the class below), and a
+    cell of over ``block`` documents, or 128 times as many bytes of parity bits, into pairs of blocks, so that a task's memory is
+    bounded; pairs inside a component are never looked at.
     """
-    own = shared.filter(F.col("m") > together).select("key", "id").join(labels.select(F.col("a").alias("id"), F.col("b").alias("label")), "id", "left")
-    own = own.select("key", "id", F.coalesce("label", "id").alias("label"))
-    open_keys = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    own = shared.filter(F.col("m") > together).select("key", "id", "n").join(labels.select(F.col("a").alias("id"), F.col("b").alias("label")), "id", "left")
+    own = own.select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    marks = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")]
+    open_keys = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *marks).filter("low < high")
     size = F.floor(F.log("n") / -math.log(similarity * 0.999)).cast("int")  # a little wide, so that rounding parts no pair
-    rows = own.join(open_keys, "key").join(reps.select("id", "n", "bits"), "id")
-    rows = written(rows.select("id", "n", "bits", "label", F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size - 1))).alias("cell")), "open")
-    cells_ = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(cells_.filter("low < high").select("cell", "blocks"), "cell").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    cell = F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size - 1))).alias("cell")
+    rows = written(own.join(open_keys.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key").select("id", "n", "label", cell), "open")
+    weight = F.greatest(F.lit(1), F.col("n") / 512)  # of a document's parity bits, in units of 128 bytes
+    cells_ = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum(weight) / block).cast("int").alias("blocks"), *marks)
+    cells_ = cells_.filter("low < high").groupBy("m", "x", "y", "blocks").agg(F.min("cell").alias("cell"))
+    dealt = rows.join(cells_.select("cell", "blocks"), "cell").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "label", "bits")
+    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "label")
+    dealt = dealt.join(reps.select("id", "bits"), "id")
 
     def sweep(key, table):
         import pyarrow as pa
 
         ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        a, b = possible_pairs(n, bits, label, similarity)
+        a, b = possible_pairs(n, folded(table.column("bits").to_pylist()), label, similarity)
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
     pairs = dealt.groupBy("cell", "i", "j").applyInArrow(sweep, "a long, b long")
@@ -412,7 +426,7 @@ def similar_groups(
                 h = shingle_hashes(t, shingle)
                 is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
                 first = h[np.argsort(is_late, kind="stable")][: prefix_length(len(h), similarity)]
-                out.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), first.view(np.int64), parity_bits(h)))
+                out.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), first.view(np.int64), parity_bits(h, 1 << max(10, (2 * len(h) - 1).bit_length()))))
             digest, n, keys, bits = zip(*out, strict=True)
             columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "fp", "keys", "bits"])
