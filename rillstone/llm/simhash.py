@@ -476,14 +476,22 @@ def similar_groups(
         ids = some.select(F.col("a").alias("id")).union(some.select("b")).distinct()
         texts = base.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(mark, "text")).alias("text"))
         texts = written(texts, "texts")
+        spare.append(texts)
         first = some.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a")
         return first.join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
+    spare: list[DataFrame] = []  # tables that the labels, a table of their own, no longer need
     sifted = written(pairs.select("id_a", "id_b", "fp_a", "fp_b").mapInArrow(sift, "a long, b long").distinct(), "pairs")
     labels = component_labels(verified(sifted))
+    spare.append(sifted)
+    while spare:
+        drop(spare.pop())
     rest = written(_across(shared, reps, labels, together, similarity, block), "rest")
+    spare += [rest, shared, reps]
     if not rest.isEmpty():
         labels = component_labels(labels.unionByName(verified(rest)))
+    while spare:
+        drop(spare.pop())
     return named.join(least, "digest").select("doc_id", "id"), labels
 
 
