@@ -79,19 +79,43 @@ def top_k(vectors: dict[int, list | None], queries: list[int], k: int, scale: in
     return out
 
 
-def line_dedup(docs: list[tuple[int, str | None]], bounds) -> dict[int, str]:
-    chunks = {}
+def chunk_ends(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Chunks [from, to): one ends after a line unless the mixed sum of its mixed hash and the mixed next-lower one's is 0 modulo 4, after 8 lines, and at the end."""
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    h = [xxhash.xxh64_intdigest(x) for x in lines]
+    out, before = [], 0
+    for i in range(1, len(lines)):
+        own = mix((mix((h[i] + 1) % 2**64) + mix((h[i - 1] + 2) % 2**64)) % 2**64) % 4 != 0
+        if own or i + 1 == len(lines) or i + 1 - before == 8:
+            out.append((min(before, i - 1), i + 1))
+            before = i + 1
+    return out
+
+
+def line_dedup(docs: list[tuple[int, str | None]]) -> dict[int, str]:
+    """Each text without the lines of chunks, and of their tails of two or more lines, that stand as such in an earlier place."""
+    texts = {i: [x for x in (t or "").encode().split(b"\n") if x.strip()] for i, t in docs}
+    seen, gone = set(), {i: set() for i in texts}
+    for i in sorted(texts):
+        for a, b in chunk_ends(texts[i]):
+            for start in range(a, b - 1):
+                block = tuple(texts[i][start:b])
+                if block in seen:
+                    gone[i].update(range(start, b))
+                seen.add(block)
+    out = {}
     for i, t in docs:
-        lines = t.encode().split(b"\n") if t else []
-        chunks[i] = [b"\n".join(lines[a:b]) for a, b in bounds(lines)] if len(lines) > 1 else ([b"\n".join(lines)] if lines else [])
-    seen, out = set(), {}
-    for i in sorted(chunks):
-        kept = []
-        for c in chunks[i]:
-            if c.count(b"\n") and c.strip() and c in seen:
-                continue
-            seen.add(c)
-            kept.append(c)
+        kept, at, away = [], -1, False
+        for line in (t or "").encode().split(b"\n"):
+            if line.strip():
+                at += 1
+                away = at in gone[i]
+            kept += [] if away else [line]
         out[i] = b"\n".join(kept).decode()
     return out
 
