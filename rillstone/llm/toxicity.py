@@ -90,8 +90,8 @@ def train(rows: list[tuple[bytes | None, int]], s: Settings) -> tuple[np.ndarray
     return at, model.weights(at).astype(np.float32), model.bias()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=None) -> list[tuple[bytes | None, int]]:
-    """A bounded, reproducible sample of labelled texts: about ``most_rows`` ids and at most ``most_bytes`` bytes.
+def _sample(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=None) -> DataFrame | None:
+    """(_id, _toxic, t binary), a bounded, reproducible sample of labelled texts, None without any: about ``most_rows`` ids and at most ``most_bytes`` bytes.
 
     Labels other than 0 and 1 and null ids are left out; ids labelled both ways count as toxic.  The order is by a hash of
     the id, so it depends on neither partitions nor source; a text that doesn't fit any more is skipped.  Of rows that repeat an
@@ -114,11 +114,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=Non
             total += r["size"]
             fit.append((r["_id"], r["mark"]))
     if not fit:
-        return []
+        return None
     wanted = F.broadcast(docs.sparkSession.createDataFrame(fit, "_id long, mark long"))  # about most_rows ids
-    got = rows.join(wanted, ["_id", "mark"], "left_semi").groupBy("_id", "_toxic").agg(F.min("t").alias("t")).collect()
-    got.sort(key=lambda r: (hash_order(r["_id"]), r["t"] or b""))
-    return [(None if r["t"] is None else bytes(r["t"]), r["_toxic"]) for r in got]
+    return rows.join(wanted, ["_id", "mark"], "left_semi").groupBy("_id", "_toxic").agg(F.min("t").alias("t"))
+
+
+def _in_order(rows: list[tuple[int, int, bytes | None]]) -> list[tuple[bytes | None, int]]:
+    rows.sort(key=lambda r: (hash_order(r[0]), r[2] or b""))
+    return [(t, y) for _, y, t in rows]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=None) -> list[tuple[bytes | None, int]]:
+    """The (text, label) rows that the model learns from, in order; see ``_sample``."""
+    sample = _sample(docs, labels, s, may_learn)
+    return [] if sample is None else _in_order([(r["_id"], r["_toxic"], None if r["t"] is None else bytes(r["t"])) for r in sample.collect()])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, s: Settings, may_learn=None) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """What ``train`` makes of the training rows, None without any.
+
+    One task holds the sample, which ``most_rows`` and ``most_bytes`` bound; only the weights come to the driver.
+    """
+    sample = _sample(docs, labels, s, may_learn)
+    if sample is None:
+        return None
+
+    def learn(batches_: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows = [r for batch in batches_ for r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+        if rows:
+            at, weights, bias = train(_in_order(rows), s)
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["places", "weights", "bias"])
+
+    got = sample.select("_id", "_toxic", "t").repartition(1).mapInArrow(learn, "places binary, weights binary, bias double").collect()
+    return (np.frombuffer(bytes(got[0]["places"]), np.int64), np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["bias"]) if got else None
 
 
 def hash_order(key: int) -> int:
@@ -131,12 +161,12 @@ def scored(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), may_lea
     score is in 0..1, also for null and empty texts (the bias alone).  Without labelled rows every score is 0.5 and
     predicted 1 only if the threshold says so.  Existing columns named score or predicted are replaced.
     """
-    return _scored(docs, training_rows(docs, labels, s, may_learn), s)
+    return _scored(docs, fitted(docs, labels, s, may_learn) or train([], s), s)
 
 
-def _probabilities(docs: DataFrame, rows: list[tuple[bytes | None, int]], s: Settings):
+def _probabilities(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Settings):
     """A function from a list of texts to their probabilities, to run in tasks."""
-    held = docs.sparkSession.sparkContext.broadcast(train(rows, s))
+    held = docs.sparkSession.sparkContext.broadcast(model)
     bits = s.bits
 
     def of(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
@@ -153,8 +183,8 @@ def _probabilities(docs: DataFrame, rows: list[tuple[bytes | None, int]], s: Set
     return of, table
 
 
-def _scored(docs: DataFrame, rows: list[tuple[bytes | None, int]], s: Settings) -> DataFrame:
-    of, table = _probabilities(docs, rows, s)
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Settings) -> DataFrame:
+    of, table = _probabilities(docs, model, s)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
     out_schema = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -180,10 +210,10 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
 def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Rows of docs that the classifier does not reject, with docs' own columns and values; all, if there is nothing to learn from."""
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    rows = training_rows(typed, labels, s)
-    if not rows:
+    model = fitted(typed, labels, s)
+    if model is None:
         return typed
-    of, table = _probabilities(docs, rows, s)
+    of, table = _probabilities(docs, model, s)
     text_at = docs.columns.index("text")
 
     def run(rows: Iterator) -> Iterator:
