@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,17 +70,16 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, buckets: int | None = None, together: int = 24 << 20) -> DataFrame:
+def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, buckets: int | None = None, together: int = 24 << 20, most: int = 1 << 18) -> DataFrame:
     """(doc_id, found binary): int64 triples (end line, lines, hash of the bytes) of chunks and tails that have an earlier equal.
 
     Rows that repeat a doc_id share its places; the hash tells their texts apart.  A chunk that many documents share
-    leaves a batch of about ``together`` text bytes once.
+    leaves a batch of about ``together`` text bytes once, and its bucket's task reads these as a stream: it holds each
+    different chunk once and about ``most`` results.
     """
     buckets = buckets or buckets_for(docs)
 
     def spread(rows: Iterator) -> Iterator:
-        import pyarrow as pa
-
         names, kinds = ["bucket", "kind", "ids", "ends", "sizes", "bodies"], [pa.int32(), pa.int32()] + [pa.binary()] * 4
         seen: dict[bytes, list[tuple[int, int]]] = {}
         size = 0
@@ -109,28 +109,37 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
                 seen, size = {}, 0
         yield from flush()
 
-    def compare(key, table):
-        import pyarrow as pa
-
-        groups: dict[bytes, list[tuple[int, int]]] = {}
+    def compare(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple[int, int]] = {}  # a dict compares the bytes themselves
         gone: dict[int, list[int]] = {}
-        for kind, ids, ends, sizes, bodies in zip(*(table.column(n).to_pylist() for n in ("kind", "ids", "ends", "sizes", "bodies")), strict=True):
-            ids, ends, sizes = (np.frombuffer(_unpack(x), np.int64).tolist() for x in (ids, ends, sizes))
-            raw, at = _unpack(bodies), 0
-            if kind:
-                for i, e, n, mark in zip(ids, ends, sizes, np.frombuffer(raw, np.int64).tolist(), strict=True):
-                    gone.setdefault(i, []).extend((e, n, mark))
-                continue
-            for i, e, n in zip(ids, ends, sizes, strict=True):
-                groups.setdefault(raw[at : at + n], []).append((i, e))  # a dict compares the bytes themselves
-                at += n
-        for body, places in groups.items():
-            if len(places) > 1:
-                first, n, mark = min(places), body.count(b"\n") + 1, _digest(body)
-                for i, e in places:
-                    if (i, e) != first:
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(gone), pa.int64()), pa.array([np.array(v, np.int64).tobytes() for v in gone.values()], pa.binary())], ["doc_id", "found"])
+
+        held = 0
+        for batch in arrived:
+            for kind, ids, ends, sizes, bodies in zip(*(batch.column(n).to_pylist() for n in ("kind", "ids", "ends", "sizes", "bodies")), strict=True):
+                ids, ends, sizes = (np.frombuffer(_unpack(x), np.int64).tolist() for x in (ids, ends, sizes))
+                raw, at = _unpack(bodies), 0
+                if kind:
+                    for i, e, n, mark in zip(ids, ends, sizes, np.frombuffer(raw, np.int64).tolist(), strict=True):
                         gone.setdefault(i, []).extend((e, n, mark))
-        return pa.table({"doc_id": pa.array(list(gone), pa.int64()), "found": pa.array([np.array(v, np.int64).tobytes() for v in gone.values()], pa.binary())})
+                    held += len(ids)
+                else:
+                    for place, n in zip(zip(ids, ends, strict=True), sizes, strict=True):
+                        body = raw[at : at + n]
+                        at += n
+                        known = first.setdefault(body, place)
+                        if known != place:
+                            if place < known:
+                                first[body] = place
+                            i, e = max(known, place)
+                            gone.setdefault(i, []).extend((e, body.count(b"\n") + 1, _digest(body)))
+                            held += 1
+                if held >= most:
+                    yield out()
+                    gone, held = {}, 0
+        yield out()
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return picked.mapInArrow(spread, "bucket int, kind int, ids binary, ends binary, sizes binary, bodies binary").groupBy("bucket").applyInArrow(compare, "doc_id long, found binary")
@@ -159,8 +168,6 @@ def _cut(docs: DataFrame, report: bool, window: int, divisor: int, buckets: int
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(rows: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in rows:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             marks = batch.column(len(names)).to_pylist()

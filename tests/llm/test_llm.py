@@ -480,6 +480,10 @@ def test_line_dedup(docs, nothing, spark):
     shared = "\n".join(f"shared {r.random()}" for _ in range(40))
     a, b = (1, shared), (2, "other start\n" + shared + "\nother end")
     report = by_id(lines.line_report(spark.createDataFrame([a, b], "doc_id long, text string")), "n_removed_lines")
+    few = lines.repeated_chunks(docs, buckets=2, together=300, most=2)  # many batches, results in pieces
+    whole = lines.repeated_chunks(docs, buckets=1)
+    marks = lambda df: {(r["doc_id"], *t) for r in df.collect() for t in np.frombuffer(r["found"], np.int64).reshape(-1, 3).tolist()}
+    assert marks(few) == marks(whole) and few.count() > few.select("doc_id").distinct().count()
     assert report[1] == (0,) and report[2][0] >= 38  # boundaries fall into step after the inserted line
 
 
