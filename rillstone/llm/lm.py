@@ -56,13 +56,71 @@ def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+class Places:
+    """Finds places in an array of different hashes by their upper bits: one look for nearly every word, no binary search."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.count, self.hashes = len(hashes), np.append(hashes, np.uint64(0))  # the last stands for none
+        self.shift = np.uint64(64 - min(20, max(8, (self.count * 16).bit_length())))
+        slots, self.tables, left = (hashes >> self.shift).astype(np.int64), [], np.arange(self.count)
+        while not self.tables or len(left):  # a table for each further hash of a slot
+            table = np.full(1 << int(np.uint64(64) - self.shift), self.count, np.int32)
+            table[slots[left]] = left
+            self.tables.append(table)
+            left = left[table[slots[left]] != left]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place, ``count`` for others."""
+        slot = (h >> self.shift).view(np.int64)
+        at = self.tables[0][slot]
+        other = np.flatnonzero(self.hashes[at] != h)
+        at[other] = self.count
+        for table in self.tables[1:]:
+            found = table[slot[other]]
+            hit = (self.hashes[found] == h[other]) & (found < self.count)
+            at[other[hit]] = found[hit]
+        return at
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x's exponentials, in its own place: (log-probability of column ``at`` of each row, sum of each row's exponentials).
+
+    The rows' largest values are taken off only where an exponential could leave float32's range.
+    """
+    if x.size and (np.maximum.reduce(x, None) > 80 or np.minimum.reduce(x, None) < -80):
+        x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    return own - np.log(sums), sums
+
+
+def _by_value(x: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of whole numbers from 0 to under ``below``; sixteen bits are sorted in linear time."""
+    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
+
+
+def _row_sums(x: np.ndarray, ids: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different ids, sums of their rows of x): all ids' second rows are added at once, then all third ones; what few ids have left, id by id."""
+    order = _by_value(ids, below)
+    ids = ids[order]
+    edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+    first, times = edges[:-1], edges[1:] - edges[:-1]
+    by = _by_value(len(ids) - times, len(ids))
+    first, times = first[by], times[by]
+    more = np.searchsorted(-times, -np.arange(1, times[0] + 1)).tolist()  # ids with over 1, 2, ... rows
+    out, done = x[order[first]], 1
+    while more[done - 1] > 4:
+        k = more[done - 1]
+        out[:k] += x[order[first[:k] + done]]
+        done += 1
+    for i in range(more[done - 1]):
+        out[i] += np.ones(times[i] - done, x.dtype) @ x[order[first[i] + done : first[i] + times[i]]]
+    return ids[first], out
 
 
 class Network:
@@ -93,122 +151,261 @@ class Network:
         new = np.tanh(x[:, 2 * n :] + rh @ p["u"][:, 2 * n :])
         return h + z * (new - h), (z, r, rh, new)
 
+    def gates(self) -> np.ndarray:
+        """Half the recurrent weights, gate by gate (update, reset, new).
+
+        A sigmoid is (tanh(x / 2) + 1) / 2; the reset gate is used without its last halving, so the new state's weights have it.
+        """
+        n = self.s.hidden
+        return np.multiply(self.p["u"].reshape(n, 3, n).transpose(1, 0, 2), 0.5, order="C")
+
     def outputs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural-log probability of each target (of the class alone for other words)."""
         p, s = self.p, self.s
         cls = np.minimum(targets // s.words, s.classes)
         out = np.empty(len(targets))
-        for a in range(0, len(targets), 8192):  # small enough for the cache
-            out[a : a + 8192] = _log_softmax(states[a : a + 8192] @ p["wc"] + p["bc"])[np.arange(len(targets[a : a + 8192])), cls[a : a + 8192]]
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(s.classes + 1))
-        for c in range(s.classes):
-            at = order[cut[c] : cut[c + 1]]
-            if len(at):
-                out[at] += _log_softmax(states[at] @ p["ww"][c] + p["bw"][c])[np.arange(len(at)), targets[at] - c * s.words]
+        for a in range(0, len(targets), 2048):  # small enough for the cache
+            x = states[a : a + 2048] @ p["wc"]
+            x += p["bc"]
+            out[a : a + 2048] = _softmax(x, cls[a : a + 2048])[0]
+        order = _by_value(cls, s.classes + 1)
+        cut = np.searchsorted(cls[order], np.arange(s.classes + 1)).tolist()
+        order = order[: cut[-1]]  # by class, without other words
+        by, of = states[order], cls[order]
+        own, inside = targets[order] - of * s.words, np.empty(len(order))
+        c = 0
+        while c < s.classes:
+            first = last = c  # classes whose words fit the cache together
+            while last < s.classes and (last == first or cut[last + 1] - cut[first] <= 2048):
+                last += 1
+            a, b = cut[first], cut[last]
+            if b > a:
+                x = np.empty((b - a, s.words), np.result_type(by, p["ww"]))
+                for c in range(first, last):
+                    if cut[c + 1] > cut[c]:
+                        part = x[cut[c] - a : cut[c + 1] - a]
+                        np.matmul(by[cut[c] : cut[c + 1]], p["ww"][c], out=part)
+                        part += p["bw"][c]
+                inside[a:b] = _softmax(x, own[a:b])[0]
+            c = last
+        out[order] += inside
         return out
 
+    def _spans(self, cut: list[int]):
+        """Runs of classes that are multiplied together: (first class, end, rows kept for each class).
+
+        Later classes are rarer and go together, each filled up to the run's largest; where that would be mostly filling, they go alone.
+        """
+        a, classes = 0, self.s.classes
+        while a < classes:
+            b = min(classes, 4 * a or 1)
+            most = max(cut[c + 1] - cut[c] for c in range(a, b))
+            if b - a > 1 and (b - a) * most > 4 * (cut[b] - cut[a]) + 8 * (b - a):
+                yield from ((c, c + 1, cut[c + 1] - cut[c]) for c in range(a, b) if cut[c + 1] > cut[c])
+            elif most:
+                yield a, b, most
+            a = b
+
     def learn(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
         """One truncated window (time x streams): (last state, mean log-probability before the update).
 
         A stream whose input is the end starts a document: its state is cleared.
         """
-        p, s, n = self.p, self.s, self.s.hidden
-        steps, streams = inputs.shape
-        u, un = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
-        given = p["x"][inputs] + p["b"]  # what the inputs add to the gates, for the whole window at once
-        starts = (inputs == 0)[:, :, None]
-        before = np.empty((steps, streams, n), given.dtype)
-        gates, new, after = np.empty((steps, streams, 2 * n), given.dtype), np.empty_like(before), np.empty_like(before)
-        for t in range(steps):
-            np.copyto(before[t], h)
-            np.copyto(before[t], 0, where=starts[t])
-            gate = _sigmoid(given[t, :, : 2 * n] + before[t] @ u)
-            new[t] = np.tanh(given[t, :, 2 * n :] + (gate[:, n:] * before[t]) @ un)
-            gates[t] = gate
-            after[t] = h = before[t] + gate[:, :n] * (new[t] - before[t])
-        flat, goal = after.reshape(-1, n), targets.ravel()
-        cls, m = np.minimum(goal // s.words, s.classes), len(goal)
-        grad = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        d = _log_softmax(flat @ p["wc"] + p["bc"])
-        total = d[np.arange(m), cls].sum()
-        np.exp(d, out=d)
-        d[np.arange(m), cls] -= 1
-        grad["wc"], grad["bc"] = flat.T @ d, d.sum(0)
+        h, means = learn([self], inputs[None], targets[None], h[None])
+        return h[0], means[0]
+
+    def learn_outputs(self, flat: np.ndarray, goal: np.ndarray, scale: np.float32) -> tuple[np.ndarray, float]:
+        """Learns the output's part of a window: (gradient of the states, sum of log-probabilities before the update)."""
+        p, s = self.p, self.s
+        cls, rows = np.minimum(goal // s.words, s.classes), np.arange(len(goal))
+        d = flat @ p["wc"]
+        d += p["bc"]
+        logs, sums = _softmax(d, cls)
+        total = float(logs.sum())
+        d *= (scale / sums)[:, None]
+        d[rows, cls] -= scale
         dh = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(s.classes + 1)).tolist()
+        self._move("wc", flat.T @ d)
+        self._move("bc", np.ones(len(d), d.dtype) @ d)
+        order = _by_value(cls, s.classes + 1)
+        cut = np.searchsorted(cls[order], np.arange(s.classes + 1))
         order = order[: cut[-1]]  # by class, without other words
         by, of = flat[order], cls[order]
-        own = goal[order] - of * s.words
-        some = [c for c in range(s.classes) if cut[c + 1] > cut[c]]
-        d = p["bw"][of]
-        for c in some:
-            d[cut[c] : cut[c + 1]] += by[cut[c] : cut[c + 1]] @ p["ww"][c]
-        d = _log_softmax(d)
-        total += d[np.arange(len(own)), own].sum()
-        np.exp(d, out=d)
-        d[np.arange(len(own)), own] -= 1
-        down = np.empty_like(by)
-        for c in some:
-            at = slice(cut[c], cut[c + 1])
-            np.matmul(by[at].T, d[at], out=grad["ww"][c])
-            np.matmul(d[at], p["ww"][c].T, out=down[at])
-        if some:
-            grad["bw"][some] = np.add.reduceat(d, [cut[c] for c in some], axis=0)
+        own, rank, cut = goal[order] - of * s.words, rows[: len(order)] - cut[of], cut.tolist()
+        d, spans = p["bw"][of], []
+        for a, b, most in self._spans(cut):
+            at, slot, held = slice(cut[a], cut[b]), None, by[cut[a] : cut[b]]
+            if b == a + 1:
+                d[at] += held @ p["ww"][a]
+            else:
+                slot = (of[at] - a) * most + rank[at]
+                wide = np.zeros(((b - a) * most, s.hidden), by.dtype)
+                wide[slot] = held
+                held = wide.reshape(b - a, most, s.hidden)
+                d[at] += (held @ p["ww"][a:b]).reshape(-1, s.words)[slot]
+            spans.append((a, b, most, at, slot, held))
+        logs, sums = _softmax(d, own)
+        total += float(logs.sum())
+        d *= (scale / sums)[:, None]
+        d[rows[: len(own)], own] -= scale
+        down, bw = np.empty_like(by), np.zeros_like(p["bw"])
+        for a, b, most, at, slot, held in spans:
+            if slot is None:
+                np.matmul(d[at], p["ww"][a].T, out=down[at])
+                bw[a] = np.ones(most, d.dtype) @ d[at]
+                self._move("ww", held.T @ d[at], a, most * scale <= 1)
+            else:
+                wide = np.zeros(((b - a) * most, s.words), d.dtype)
+                wide[slot] = d[at]
+                wide = wide.reshape(b - a, most, s.words)
+                down[at] = (wide @ p["ww"][a:b].transpose(0, 2, 1)).reshape(-1, s.hidden)[slot]
+                bw[a:b] = np.ones(most, d.dtype) @ wide
+                # states lie within -1 and 1 and errors within the scale, so no gradient of so few tokens is cut
+                self._move("ww", held.transpose(0, 2, 1) @ wide, slice(a, b), most * scale <= 1)
+        self._move("bw", bw)
         dh[order] += down
-        dh = dh.reshape(steps, -1, n)
-        # what each step's gradient is multiplied with depends on the forward pass alone, so it is made for the window at once
-        z, r = gates[:, :, :n], gates[:, :, n:]
-        to_new, to_z, to_r, left = z * (1 - new * new), (new - before) * z * (1 - z), before * r * (1 - r), 1 - z
-        back, gx = np.zeros_like(h), np.empty((steps, streams, 3 * n), given.dtype)
-        ut, unt = u.T.copy(), un.T.copy()
-        for t in range(steps - 1, -1, -1):
-            g = dh[t] + back
-            dn = np.multiply(g, to_new[t], out=gx[t, :, 2 * n :])
-            drh = dn @ unt
-            np.multiply(g, to_z[t], out=gx[t, :, :n])
-            np.multiply(drh, to_r[t], out=gx[t, :, n : 2 * n])
-            back = g * left[t] + drh * r[t] + gx[t, :, : 2 * n] @ ut
-            np.copyto(back, 0, where=starts[t])
-        gx = gx.reshape(-1, 3 * n)
-        grad["u"] = np.concatenate((before.reshape(-1, n).T @ gx[:, : 2 * n], (r * before).reshape(-1, n).T @ gx[:, 2 * n :]), 1)
-        grad["b"] = gx.sum(0)
-        scale = np.float32(1 / streams)
-        for k, v in grad.items():
-            np.multiply(v, scale, out=v)
+        return dh, total
+
+    def _move(self, name: str, v: np.ndarray, at=slice(None), within: bool = False) -> None:
+        """One step of weights against their gradient v, which is used up; ``g`` holds the sums of gradients' squares.
+
+        ``within``: v is known to lie within -1 and 1, where gradients are cut.
+        """
+        values, squares = self.p[name][at], self.g[name][at]
+        if not within:
             np.clip(v, -1, 1, out=v)
-            step = v * v
-            self.g[k] += step
-            np.sqrt(self.g[k], out=step)
-            np.divide(v, step, out=step)
-            step *= s.rate
-            p[k] -= step
-        order = np.argsort(inputs.ravel(), kind="stable")
-        rows, first = np.unique(inputs.ravel()[order], return_index=True)
-        gs = np.clip(np.add.reduceat(gx[order], first, axis=0) * scale, -1, 1)
-        sums = self.g["x"][rows] + gs * gs
-        self.g["x"][rows] = sums
-        p["x"][rows] -= s.rate * gs / np.sqrt(sums)
-        return h, float(total / m)
+        step = v * v
+        squares += step
+        np.sqrt(squares, out=step)
+        np.divide(v, step, out=step)
+        step *= self.s.rate
+        values -= step
+
+    def _move_rows(self, rows: np.ndarray, v: np.ndarray) -> None:
+        """``_move`` for some inputs' rows of "x"."""
+        np.clip(v, -1, 1, out=v)
+        step = v * v
+        step += np.take(self.g["x"], rows, axis=0)
+        self.g["x"][rows] = step
+        np.sqrt(step, out=step)
+        np.divide(v, step, out=step)
+        step *= self.s.rate
+        self.p["x"][rows] = np.subtract(np.take(self.p["x"], rows, axis=0), step, out=step)
+
+
+def learn(nets: list[Network], inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """One truncated window of networks that learn apart from each other (network x time x streams): (last states, means as ``Network.learn``).
+
+    They share the loops over time only, whose single operations are too small to be worth a call each.  Arrays are kept by
+    time and gate, so these operations meet contiguous memory.  Gradients are those of the mean over streams from the start.
+    """
+    n, kind = nets[0].s.hidden, nets[0].p["x"].dtype
+    size, steps, streams = inputs.shape
+    m, scale = steps * streams, np.float32(1 / streams)
+    fed, goal = (np.ascontiguousarray(x, np.int64).reshape(size, m) for x in (inputs, targets))
+    u = np.stack([net.gates() for net in nets], 1)
+    u2, un = u[:2], u[2]
+    given = np.empty((steps, 3, size, streams, n), kind)  # what the inputs add to the gates; then the gates, update and reset doubled
+    for i, net in enumerate(nets):
+        x = np.take(net.p["x"], fed[i], axis=0)
+        x += net.p["b"]
+        x = x.reshape(steps, streams, 3, n).transpose(0, 2, 1, 3)
+        np.multiply(x[:, :2], 0.5, out=given[:, :2, i])
+        given[:, 2, i] = x[:, 2]
+    starts = inputs.transpose(1, 0, 2) == 0
+    some = starts.any((1, 2)).tolist()
+    before, after = np.empty((steps, size, streams, n), kind), np.empty((steps, size, streams, n), kind)
+    for t in range(steps):
+        held, gate, new = before[t], given[t, :2], given[t, 2]
+        np.copyto(held, h)
+        if some[t]:
+            held[starts[t]] = 0
+        gate += held @ u2
+        np.tanh(gate, out=gate)
+        gate += 1
+        new += (gate[1] * held) @ un
+        np.tanh(new, out=new)
+        h = np.subtract(new, held, out=after[t])
+        h *= gate[0]
+        h *= 0.5
+        h += held
+    dh, totals = np.empty_like(after), []
+    for i, net in enumerate(nets):
+        d, total = net.learn_outputs(after[:, i].reshape(m, n), goal[i], scale)
+        dh[:, i] = d.reshape(steps, streams, n)
+        totals.append(total / m)
+    given[:, :2] *= 0.5
+    gx, used, back = np.empty_like(given), np.empty_like(before), np.zeros(h.shape, kind)
+    ut = np.stack([net.p["u"].reshape(n, 3, n).transpose(1, 2, 0) for net in nets], 1)
+    ut2, unt = ut[:2], ut[2]
+    for t in range(steps - 1, -1, -1):
+        g, (z, r, new), held, (by_z, by_r, by_new) = dh[t], given[t], before[t], gx[t]
+        g += back
+        np.multiply(new, new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= z
+        by_new *= g
+        np.subtract(new, held, out=by_z)
+        by_z *= z
+        np.subtract(1, z, out=z)
+        by_z *= z
+        by_z *= g
+        g *= z
+        drh = by_new @ unt
+        np.multiply(held, r, out=used[t])
+        np.multiply(drh, used[t], out=by_r)
+        drh *= r
+        g += drh
+        np.subtract(1, r, out=r)
+        by_r *= r
+        by_z, by_r = gx[t, :2] @ ut2
+        g += by_z
+        g += by_r
+        if some[t]:
+            g[starts[t]] = 0
+        back = g
+    for i, net in enumerate(nets):
+        rows = gx[:, :, i].transpose(0, 2, 1, 3).reshape(m, 3 * n)
+        net._move("u", np.concatenate((before[:, i].reshape(m, n).T @ rows[:, : 2 * n], used[:, i].reshape(m, n).T @ rows[:, 2 * n :]), 1))
+        net._move("b", np.ones(m, kind) @ rows)
+        net._move_rows(*_row_sums(rows, fed[i], net.k + 1))
+    return h, totals
 
 
 def train(s: Settings, documents: list[np.ndarray], counts: np.ndarray, rest: float, net: Network | None = None) -> Network:
     """A network (``net`` itself, if given) that has learned every token of documents of token ids, each with its end."""
     net = net or Network(s, counts, rest)
-    stream = np.concatenate(documents) if documents else np.empty(0, np.int64)
-    if len(stream) < 2:
-        return net
-    width = min(s.streams, max(1, len(stream) // (2 * s.window)))
-    length = -(-(len(stream) - 1) // width)
-    # the last stream is filled up from the first tokens
-    inputs, targets = (np.resize(x, width * length).reshape(width, length).T for x in (stream[:-1], stream[1:]))
-    h = np.zeros((width, s.hidden), np.float32)
-    for t in range(0, length, s.window):
-        h, _ = net.learn(inputs[t : t + s.window], targets[t : t + s.window], h)
+    train_apart([net], [documents])
     return net
 
 
+def train_apart(nets: list[Network], documents: list[list[np.ndarray]]) -> None:
+    """Each network learns every token of its own documents, as if it were alone; windows of equal shape go side by side."""
+    s, work = nets[0].s, []
+    for net, own in zip(nets, documents, strict=True):
+        stream = np.concatenate(own) if own else np.empty(0, np.int64)
+        if len(stream) < 2:
+            continue
+        width = min(s.streams, max(1, len(stream) // (2 * s.window)))
+        length = -(-(len(stream) - 1) // width)
+        # the last stream is filled up from the first tokens
+        inputs, targets = (np.resize(x, width * length).reshape(width, length).T for x in (stream[:-1], stream[1:]))
+        work.append([net, inputs, targets, np.zeros((width, s.hidden), np.float32)])
+    for t in range(0, max((len(w[1]) for w in work), default=0), s.window):
+        shapes: dict[tuple, list] = {}
+        for w in work:
+            if t < len(w[1]):
+                shapes.setdefault(w[1][t : t + s.window].shape, []).append(w)
+        for some in shapes.values():
+            inputs, targets = (np.stack([w[k][t : t + s.window] for w in some]) for k in (1, 2))
+            h, _ = learn([w[0] for w in some], inputs, targets, np.stack([w[3] for w in some]))
+            for w, state in zip(some, h, strict=True):
+                w[3] = state
+
+
+#: So many shards of a round learn side by side in one task.
+GANG = 4
+
 #: A network travels in so many pieces of equal size, which are averaged apart.
 PIECES = 512
 
@@ -261,16 +458,23 @@ def trained(docs: DataFrame, s: Settings, to_ids, counts: np.ndarray, rest: floa
     for number in range(shards.bit_length()):
         start = docs.sparkSession.sparkContext.broadcast(net)
 
-        def learn(key, table):
+        def learned(key, table):
             import pyarrow as pa
 
-            own = Network.__new__(Network)
-            own.s, own.k = s, start.value.k
-            own.p, own.g = ({k: v.copy() for k, v in held.items()} for held in (start.value.p, start.value.g))
-            parts = sorted(zip(table.column("place").to_pylist(), table.column("ids").to_pylist(), strict=True))
-            documents = [np.zeros(1, np.int64), *(np.frombuffer(x, kind).astype(np.int64) for _, x in parts)]
-            values, n = _flat(train(s, documents, counts, rest, own)), sum(map(len, documents))
-            return pa.table({"piece": pa.array(range(PIECES), pa.int32()), "shard": pa.array([key[0].as_py()] * PIECES, pa.int64()), "n": pa.array([n] * PIECES, pa.int64()), "data": pa.array([x.tobytes() for x in values], pa.binary())})
+            parts: dict[int, list] = {}
+            for shard, place, ids in zip(*(table.column(x).to_pylist() for x in ("shard", "place", "ids")), strict=True):
+                parts.setdefault(shard, []).append((place, ids))
+            nets, documents = [], []
+            for shard in sorted(parts):
+                own = Network.__new__(Network)
+                own.s, own.k = s, start.value.k
+                own.p, own.g = ({k: v.copy() for k, v in held.items()} for held in (start.value.p, start.value.g))
+                nets.append(own)
+                documents.append([np.zeros(1, kind), *(np.frombuffer(x, kind) for _, x in sorted(parts[shard]))])
+            train_apart(nets, documents)
+            data = [x.tobytes() for own in nets for x in _flat(own)]
+            shard, n = ([x for x in of for _ in range(PIECES)] for of in (sorted(parts), [sum(map(len, x)) for x in documents]))
+            return pa.table({"piece": pa.array(list(range(PIECES)) * len(nets), pa.int32()), "shard": pa.array(shard, pa.int64()), "n": pa.array(n, pa.int64()), "data": pa.array(data, pa.binary())})
 
         def mean(key, table):
             import pyarrow as pa
@@ -280,8 +484,9 @@ def trained(docs: DataFrame, s: Settings, to_ids, counts: np.ndarray, rest: floa
                 total, sums = total + n, sums + n * np.frombuffer(data, np.float32).astype(np.float64)
             return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())})
 
-        learned = dealt.filter(F.col("round") == number).groupBy("shard").applyInArrow(learn, "piece int, shard long, n long, data binary")
-        rows = learned.groupBy("piece").applyInArrow(mean, "piece int, data binary").collect()  # one network
+        gang = F.floor((F.col("shard") + 1) / GANG)
+        own = dealt.filter(F.col("round") == number).groupBy(gang.alias("gang")).applyInArrow(learned, "piece int, shard long, n long, data binary")
+        rows = own.groupBy("piece").applyInArrow(mean, "piece int, data binary").collect()  # one network
         if rows:
             _set_flat(net, np.stack([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])]))
         start.destroy()
@@ -289,28 +494,49 @@ def trained(docs: DataFrame, s: Settings, to_ids, counts: np.ndarray, rest: floa
     return net
 
 
-def document_log_probs(net: Network, ids: np.ndarray, counts: np.ndarray, window: int = 32) -> np.ndarray:
+def document_log_probs(net: Network, ids: np.ndarray, counts: np.ndarray, window: int = 4096, most: int = 1 << 12) -> np.ndarray:
     """Natural-log probability of each document: ids of all documents in a row, each ended by 0; counts with the ends.
 
-    Documents advance side by side, longest first; the state of each is carried across windows to its end.
+    Documents advance side by side, longest first; the state of each is carried across windows to its end.  A window has at most
+    ``window`` steps and about ``most`` tokens, which bounds its memory and fits the cache; the result doesn't depend on them.
     """
+    n, u = net.s.hidden, net.gates()
+    u2, un = u[:2], u[2]
+    x = np.ascontiguousarray((net.p["x"] + net.p["b"]).reshape(-1, 3, n).transpose(1, 0, 2))
+    x[:2] *= 0.5
     order = np.argsort(-counts, kind="stable")
     starts = (np.cumsum(counts) - counts)[order]
     lengths = counts[order]
     total = np.zeros(len(counts))
-    h = np.zeros((len(counts), net.s.hidden), np.float32)
+    h = np.zeros((len(counts), n), np.float32)
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), "right")  # documents with more than t tokens
-    for begin in range(0, longest, window):
-        states, targets, who = [], [], []
-        for t in range(begin, min(longest, begin + window)):
-            n = int(active[t])
-            inputs = ids[starts[:n] + t - 1] if t else np.zeros(n, np.int64)
-            h, _ = net.step(inputs, h[:n])
-            states.append(h)
-            targets.append(ids[starts[:n] + t])
-            who.append(np.arange(n))
-        total += np.bincount(np.concatenate(who), net.outputs(np.concatenate(states), np.concatenate(targets)), len(total))
+    begin = 0
+    while begin < longest:
+        width = int(active[begin])
+        sizes = active[begin : begin + min(window, max(1, most // width))]
+        there = np.arange(width) < sizes[:, None]
+        who = np.broadcast_to(np.arange(width), there.shape)[there]
+        at = (starts[:width] + np.arange(begin, begin + len(sizes))[:, None])[there]
+        inputs = ids[at - 1]
+        if not begin:
+            inputs[:width] = 0
+        given = np.take(x, inputs, axis=1)
+        states, a = np.empty_like(given[2]), 0
+        for k in sizes.tolist():
+            held, gate, new, out = h[:k], given[:2, a : a + k], given[2, a : a + k], states[a : a + k]
+            gate += held @ u2
+            np.tanh(gate, out=gate)
+            gate += 1
+            new += (gate[1] * held) @ un
+            np.tanh(new, out=new)
+            h = np.subtract(new, held, out=out)
+            h *= gate[0]
+            h *= 0.5
+            h += held
+            a += k
+        total += np.bincount(who, net.outputs(states, ids[at]), len(total))
+        begin += len(sizes)
     out = np.empty(len(counts))
     out[order] = total
     return out
@@ -363,24 +589,26 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     head = np.concatenate((np.array([END_HASH]), hashes[: k - 1]))
     head_n = np.concatenate(([n_docs], n_of[: k - 1]))
     rest_n, rest_v = n_all - int(head_n.sum()), v_all - len(head) + (n_docs == 0)
-    by_hash = np.argsort(head)
-    head_sorted, head_ids = head[by_hash], by_hash
-    order = np.argsort(hashes)
-    known_sorted, known_n = hashes[order], n_of[order]
+    in_head, in_known = Places(head), Places(hashes)
+    # by place among the known words, which the network's own come first of
+    known_ids = np.minimum(np.arange(1, len(hashes) + 2), k)
+    known_ids[min(len(hashes), k - 1) :] = k
+    known_logs = np.log10(np.append(n_of, 0) + 1.0)
 
     def to_ids(h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(head_sorted, h), len(head_sorted) - 1)
-        return np.where(head_sorted[at] == h, head_ids[at], k)
+        at = in_head(h).astype(np.int64)
+        at[at == in_head.count] = k
+        return at
 
     net = trained(may_learn, s, to_ids, head_n, rest_n, n_all)
-    held = spark.sparkContext.broadcast((net.p, head_sorted, head_ids, known_sorted, known_n))
+    held = spark.sparkContext.broadcast((net.p, in_known, known_ids, known_logs))
     buckets = buckets_for(docs)
 
     def spread(rows: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        p, head_sorted, head_ids, known_sorted, known_n = held.value
+        p, in_known, known_ids, known_logs = held.value
         net = Network.__new__(Network)
         net.s, net.p, net.k = s, p, k
         part, number = TaskContext.get().partitionId(), 0
@@ -394,16 +622,13 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             keys = [i for r in held_rows for i in r[0]]
             h, n = np.concatenate([r[1] for r in held_rows]), np.concatenate([r[2] for r in held_rows])
             chunk, number = f"{part}-{number}", number + 1
-            at = np.minimum(np.searchsorted(head_sorted, h), len(head_sorted) - 1)
-            ids = np.where(head_sorted[at] == h, head_ids[at], k)
+            where = in_known(h)
+            ids, found = known_ids[where], where < in_known.count
             ends = np.cumsum(n)
             doc = np.repeat(np.arange(len(n)), n)
             with_ends = np.insert(ids, ends, 0)
             logs = document_log_probs(net, with_ends, n + 1) / np.log(10)
-            where = np.minimum(np.searchsorted(known_sorted, h), max(0, len(known_sorted) - 1))
-            found = known_sorted[where] == h if len(known_sorted) else np.zeros(len(h), bool)
-            c = np.where(found, known_n[where], 0) if len(known_sorted) else np.zeros(len(h), np.int64)
-            log_c = np.log10(c + 1.0)
+            log_c = known_logs[where]
             m = len(n)
             all_c = np.bincount(doc, log_c, m) + np.log10(n_docs + 1.0)
             other = ids == k

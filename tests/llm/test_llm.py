@@ -215,6 +215,77 @@ def test_lm_gradient():
         assert math.isclose((loss(up) - loss(down)) / 2e-4, step[at], rel_tol=2e-2, abs_tol=1e-3)
 
 
+def test_lm_networks_learn_side_by_side_as_alone():
+    """Networks that share a task's loops end as each would alone, whatever their streams' lengths, in fewer calls."""
+    s, r = lm.Settings(classes=20, words=3, hidden=6, window=8, streams=4), np.random.default_rng(5)
+    own = [[np.zeros(1, np.uint16), np.minimum(r.zipf(1.3, n), 60).astype(np.uint16)] for n in (700, 700, 333, 40, 1, 0)]
+    alone = [lm.train(s, d, np.ones(60), 1.0) for d in own]
+    nets = [lm.Network(s, np.ones(60), 1.0) for _ in own]
+    calls, learn = [], lm.learn
+    lm.learn = lambda some, *rest: calls.append(len(some)) or learn(some, *rest)
+    try:
+        lm.train_apart(nets, own)
+    finally:
+        lm.learn = learn
+    assert max(calls) == 3 and len(calls) < sum(calls)
+    for a, b in zip(alone, nets, strict=True):
+        assert all(np.allclose(a.p[k], b.p[k], atol=1e-5) and np.allclose(a.g[k], b.g[k], atol=1e-5) for k in a.p)
+    assert not np.allclose(nets[0].p["x"], nets[1].p["x"], atol=1e-3)
+
+
+def test_lm_gradient_of_rare_classes():
+    """Classes multiplied together, filled up to their largest, against differences of the loss; in one window a rare class has most tokens."""
+    s, r = lm.Settings(classes=20, words=3, hidden=4, window=12), np.random.default_rng(2)
+    for most in (0, 50):
+        x, y = r.integers(0, 61, (12, 6)), r.integers(0, 61, (12, 6))
+        y.ravel()[:most] = 55
+        new = lambda: lm.Network(s, np.ones(60), 1.0)
+        net = new()
+        net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+        net.g = {k: np.full_like(v, 1e12) for k, v in net.p.items()}
+        start = {k: v.copy() for k, v in net.p.items()}
+
+        def loss(p):
+            other = new()
+            other.p = p
+            h, total = np.zeros((6, 4)), 0.0
+            for t in range(12):
+                h, _ = other.step(x[t], np.where((x[t] == 0)[:, None], 0.0, h))
+                total += other.outputs(h, y[t]).sum()
+            return -total
+
+        net.learn(x, y, np.zeros((6, 4)))
+        for name in ("ww", "bw", "wc", "bc", "u", "b", "x"):
+            step = (start[name] - net.p[name]).ravel() / s.rate * 1e6 * 6
+            for at in np.argsort(-np.abs(step))[[0, 5, 11]] if step.size > 11 else [0]:
+                ends = []
+                for d in (1e-4, -1e-4):
+                    p = {k: v.copy() for k, v in start.items()}
+                    p[name].ravel()[at] += d
+                    ends.append(loss(p))
+                slope = max(-6.0, min(6.0, (ends[0] - ends[1]) / 2e-4))  # gradients of the mean over 6 streams are cut at 1
+                assert math.isclose(slope, step[at], rel_tol=2e-2, abs_tol=2e-3), (most, name)
+
+
+def test_lm_places_sums_and_large_logits():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 5, 3000):
+        keys = r.integers(1, 1 << 63, n).astype(np.uint64)
+        if n > 2:
+            keys[:3] = keys[2] + np.arange(3, dtype=np.uint64)  # one slot for three
+            keys[4] = lm.END_HASH
+        h = np.concatenate((keys, r.integers(1, 1 << 63, 500).astype(np.uint64), [np.uint64(0)]))
+        where = {int(k): i for i, k in enumerate(keys)}
+        assert lm.Places(keys)(h).tolist() == [where.get(int(x), n) for x in h]
+    ids, x = np.minimum(r.zipf(1.4, 900), 80), r.standard_normal((900, 3))
+    want = np.zeros((81, 3))
+    np.add.at(want, ids, x)
+    rows, sums = lm._row_sums(x, ids, 81)
+    assert sorted(rows.tolist()) == np.unique(ids).tolist() and np.allclose(sums, want[rows])
+    logits = np.array([[900.0, 880.0, 0.0], [-900.0, -901.0, -902.0]], np.float32)
+    assert np.allclose(lm._softmax(logits, np.array([1, 0]))[0], [-20.0, -0.40760596], atol=1e-4)
+
+
 # ---------------------------------------------------------------- 3 packing
 
 
