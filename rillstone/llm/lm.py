@@ -484,8 +484,10 @@ def trained(docs: DataFrame, s: Settings, to_ids, counts: np.ndarray, rest: floa
                 total, sums = total + n, sums + n * np.frombuffer(data, np.float32).astype(np.float64)
             return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())})
 
-        gang = F.floor((F.col("shard") + 1) / GANG)
-        own = dealt.filter(F.col("round") == number).groupBy(gang.alias("gang")).applyInArrow(learned, "piece int, shard long, n long, data binary")
+        gangs = -(-min(1 << number, shards + 1 - (1 << number)) // GANG)
+        own = dealt.filter(F.col("round") == number).withColumn("gang", F.floor((F.col("shard") + 1) / GANG))
+        own = own.repartition(4 * gangs, "gang")  # a fixed number: few bytes are much work here, so partitions must not be joined by size
+        own = own.groupBy("gang").applyInArrow(learned, "piece int, shard long, n long, data binary")
         rows = own.groupBy("piece").applyInArrow(mean, "piece int, data binary").collect()  # one network
         if rows:
             _set_flat(net, np.stack([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])]))
